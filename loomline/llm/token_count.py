@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ from loomline.llm.common import column_of, ship
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 LIMIT = 2048
 #: Pieces whose counts a worker remembers; later pieces are counted anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,7 +59,7 @@ class PairMerger:
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self.pieces = regex.compile(f"[^{WHITE}]+")
-        self.symbols = _byte_symbols()
+        self.symbols = byte_symbols()
         self.known: dict[str, int] = {}
 
     def merged(self, word: str) -> int:
@@ -125,7 +126,7 @@ class PairMerger:
         return total
 
 
-def _byte_symbols() -> list[str]:
+def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where it is printable, else the next from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out, spare = [], 256
@@ -150,9 +151,9 @@ def merger(path: str) -> PairMerger:
 def count_batches(batches: Iterator[pa.RecordBatch], path: str | None, name: str, limit: int) -> Iterator[pa.RecordBatch]:
     m = merger(path or tokenizer_path(name))
     for batch in batches:
-        texts = [x or "" for x in column_of(batch, "text").to_pylist()]
-        n_bytes = np.array([len(x.encode("utf-8")) for x in texts], np.int64)
-        n = np.array([m.count(x) for x in texts], np.int64)
+        texts = column_of(batch, "text")
+        n_bytes = np.array([x.as_py() or 0 for x in pc.binary_length(texts)], np.int64)
+        n = np.array([m.count(x.as_py() or "") for x in texts], np.int64)
         yield pa.RecordBatch.from_pydict({"doc_id": column_of(batch, "doc_id"), "n_bytes": n_bytes, "n_tokens": n, "over_limit": n > limit})
 
 

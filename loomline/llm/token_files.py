@@ -27,6 +27,7 @@ and gives an empty table. Only doc_id and text are read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,21 +42,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.common import column_of, shared_path, ship
-from loomline.llm.token_count import WHITE, tokenizer_path
+from loomline.llm.token_count import WHITE, byte_symbols, tokenizer_path
 
 END_ID = 2
 #: Ids in a frame at most (256 KB of 16-bit ids).
 FRAME_IDS = 131_072
 #: Bytes of text a file gets about.
 FILE_BYTES = 32 << 20
-REMEMBERED = 800_000
+#: Pieces, and words, whose ids a worker remembers; later ones are encoded anew.
+REMEMBERED = 250_000
 _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
 class PieceEncoder:
-    """encode(text) -> bytes of 16- or 32-bit ids, by the tokenizers library, a piece at a time.
+    """encode_all(texts) -> bytes of 16- or 32-bit ids of each, by the tokenizers library, a piece at a time.
 
     Pieces are cut where no token can span: between a character and white space that follows it.
+    A piece that is a word of Latin letters, with a space or line end before it and a comma or full
+    stop after it, goes to the library's model itself; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -63,34 +67,54 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.pattern = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+")
+        # without U+0130, whose lower case is two characters
+        self.word = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
+        self.symbols = byte_symbols()
         self.keep_space = keep_space
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        code = self.code
-        out = []
-        for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            ids = x.ids
-            out.append(struct.pack(f"<{len(ids)}{code}", *ids))
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        known, find = self.known, self.pattern.findall
-        cut = [x.split() if not self.keep_space and x.isascii() and "\x1c" not in x and "\x1d" not in x and "\x1e" not in x and "\x1f" not in x else find(x) for x in texts]
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        if not new:
-            return [b"".join([known[p] for p in pieces]) for pieces in cut]
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        room = REMEMBERED - len(known)
-        if room >= len(fresh):
-            known.update(fresh)
-            return [b"".join([known[p] for p in pieces]) for pieces in cut]
-        for p in new[: max(room, 0)]:
-            known[p] = fresh[p]
-        return [b"".join([known[p] if p in known else fresh[p] for p in pieces]) for pieces in cut]
+        self.words: dict[str, bytes] = {}
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        got = self.words.get(word)
+        if got is None:
+            shown = word if word.isascii() and word[0] != " " else "".join([self.symbols[b] for b in word.encode("utf-8")])
+            got = self._packed([t.id for t in self.model.tokenize(shown)])
+            if len(self.words) < REMEMBERED and len(word) <= 32:
+                self.words[word] = got
+        return got
+
+    def _piece(self, piece: str) -> bytes:
+        m = self.word.fullmatch(piece)
+        if m is None:
+            got = self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        else:
+            lead, word, tail = m.groups()
+            if not self.keep_space:
+                got = self._word(word.lower())
+            elif lead == "\n":
+                got = self._packed([t.id for t in self.model.tokenize(self.symbols[10])]) + self._word(word)
+            else:
+                got = self._word(lead + word)
+            if tail:
+                got += self._word(tail)
+        if len(self.known) < REMEMBERED and len(piece) <= 32:
+            self.known[piece] = got
+        return got
+
+    def encode(self, text: str) -> bytes:
+        known = self.known
+        if not self.keep_space and text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            pieces = text.split()
+        else:
+            pieces = self.pattern.findall(text)
+        return b"".join([known[p] if p in known else self._piece(p) for p in pieces])
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
@@ -226,11 +250,9 @@ def write_batches(batches: Iterator[pa.RecordBatch], folder: str, path: str, end
     part = TaskContext.get().partitionId()
     writer = None
     for batch in batches:
-        ids = column_of(batch, "doc_id").to_pylist()
-        texts = [x or "" for x in column_of(batch, "text").to_pylist()]
         writer = writer or SeekableWriter(f"{folder}/part-{part:06d}.zst", enc.dtype)
-        for doc_id, data in zip(ids, enc.encode_all(texts), strict=True):
-            writer.add(doc_id, data + end)
+        for doc_id, text in zip(column_of(batch, "doc_id"), column_of(batch, "text"), strict=True):
+            writer.add(doc_id.as_py(), enc.encode(text.as_py() or "") + end)
     if writer:
         n = writer.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/part-{part:06d}.zst"], "n_ids": [n]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_ids", pa.int64())]))
