@@ -29,7 +29,7 @@ from loomline.llm.common import SPACE, column_of, discard, ship, written
 
 DIGEST = 32
 #: Distinct digests a bucket holds about; it bounds the memory of one index build.
-PER_BUCKET = 50_000
+PER_BUCKET = 5_000
 _LEVELS = 64
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
