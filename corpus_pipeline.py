@@ -1,10 +1,16 @@
-"""The corpus pipeline: stages over documents, each written and read again by the next."""
+"""The corpus pipeline: stages over documents, each written and read again by the next.
+
+Quality rules drop documents, exact dedup keeps one row of equal texts, the Jaccard join keeps one document
+of each group of near copies, mixing takes documents (whole, twice or in part) to the sources' target words,
+and packing returns the pieces of the training sequences. All but the last stage return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import exact_dedup, quality
+from loomline.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from loomline.llm.common import ship, written
 
 
@@ -18,8 +24,30 @@ def exact_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return exact_dedup.keep_first(docs)
 
 
-STAGES = [("quality", quality_rules), ("exact_dedup", exact_repeats)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and as far, as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the sequences that the mix fills."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_repeats),
+    ("jaccard_join", near_copies),
+    ("mixing", source_mix),
+    ("packing", sequences),
+]
 
+#: Components, seeded blocks and token ids aren't SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomline.llm import exact_dedup, quality, token_count, token_files
+from loomline.llm import exact_dedup, jaccard_join, kd_sharding, mixing, packing, quality, secrets, token_count, token_files
 
-MODULES = (quality, exact_dedup, token_count, token_files)
+MODULES = (secrets, mixing, packing, token_files, exact_dedup, quality, jaccard_join, kd_sharding, token_count)
 
 
 def queries() -> dict:
