@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomline.llm import exact_dedup, jaccard_join, kd_sharding, mixing, packing, quality, secrets, token_count, token_files
+from loomline.llm import exact_dedup, jaccard_join, kd_sharding, language_id, mixing, packing, quality, secrets, token_count, token_files
 
-MODULES = (secrets, mixing, packing, token_files, exact_dedup, quality, jaccard_join, kd_sharding, token_count)
+MODULES = (secrets, mixing, packing, token_files, exact_dedup, quality, jaccard_join, kd_sharding, language_id, token_count)
 
 
 def queries() -> dict:
