@@ -49,17 +49,37 @@ END_ID = 2
 FRAME_IDS = 131_072
 #: Bytes of text a file gets about.
 FILE_BYTES = 32 << 20
-#: Pieces, and words, whose ids a worker remembers; later ones are encoded anew.
-REMEMBERED = 250_000
+#: Pieces whose ids a worker remembers; later ones are encoded anew.
+REMEMBERED = 400_000
 _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
+#: Latin letters of one lower-case character each, without the two signs among them.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_CUT_WORDS = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"
+_CUT_SPACED = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+
+
+class _Pieces(dict):
+    """Ids of pieces; a missing one is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.encode(piece)
+        if len(self) < REMEMBERED and len(piece) <= 32:
+            self[piece] = got
+        return got
+
+
 class PieceEncoder:
-    """encode_all(texts) -> bytes of 16- or 32-bit ids of each, by the tokenizers library, a piece at a time.
+    """encode(text) -> bytes of 16- or 32-bit ids, by the tokenizers library, a piece at a time.
 
-    Pieces are cut where no token can span: between a character and white space that follows it.
-    A piece that is a word of Latin letters, with a space or line end before it and a comma or full
-    stop after it, goes to the library's model itself; all others go through the whole tokenizer.
+    A text of ASCII and Latin letters is cut as the tokenizer's own pattern cuts it, and pieces go to the
+    library's model. Any other text is cut between characters and white space that follows them,
+    which no token spans, and its pieces go through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -70,51 +90,29 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.pattern = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+")
-        # without U+0130, whose lower case is two characters
-        self.word = re.compile("([ \n]?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,]?)")
+        self.simple = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*")
+        self.cut = re.compile(_CUT_SPACED if keep_space else _CUT_WORDS).findall
+        self.general = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+").findall
         self.symbols = byte_symbols()
         self.keep_space = keep_space
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.by_model, self.by_tokenizer = _Pieces(self._model), _Pieces(self._tokenizer)
 
     def _packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            shown = word if word.isascii() and word[0] != " " else "".join([self.symbols[b] for b in word.encode("utf-8")])
-            got = self._packed([t.id for t in self.model.tokenize(shown)])
-            if len(self.words) < REMEMBERED and len(word) <= 32:
-                self.words[word] = got
-        return got
+    def _model(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isalnum() else "".join([self.symbols[b] for b in piece.encode("utf-8")])
+        return self._packed([t.id for t in self.model.tokenize(shown)])
 
-    def _piece(self, piece: str) -> bytes:
-        m = self.word.fullmatch(piece)
-        if m is None:
-            got = self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        else:
-            lead, word, tail = m.groups()
-            if not self.keep_space:
-                got = self._word(word.lower())
-            elif lead == "\n":
-                got = self._packed([t.id for t in self.model.tokenize(self.symbols[10])]) + self._word(word)
-            else:
-                got = self._word(lead + word)
-            if tail:
-                got += self._word(tail)
-        if len(self.known) < REMEMBERED and len(piece) <= 32:
-            self.known[piece] = got
-        return got
+    def _tokenizer(self, piece: str) -> bytes:
+        return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        known = self.known
-        if not self.keep_space and text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            pieces = text.split()
+        if "<|" not in text and self.simple.fullmatch(text):  # special tokens are the tokenizer's to find
+            known, pieces = self.by_model, self.cut(text if self.keep_space else text.lower())
         else:
-            pieces = self.pattern.findall(text)
-        return b"".join([known[p] if p in known else self._piece(p) for p in pieces])
+            known, pieces = self.by_tokenizer, self.general(text)
+        return b"".join([known[p] for p in pieces])
 
 
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
