@@ -53,8 +53,8 @@ STRATA = len(ALPHABETS) * len(LENGTHS)
 BINS = 400
 FDR = 0.01
 VETO = 1e-4
-#: How much more than a random string's the chi-squared of ordinary text grows by with a symbol: words use few symbols unevenly.
-EXCESS = 2.5
+#: Sum of squared symbol frequencies of ordinary text; against an even alphabet it makes chi-squared grow with the length.
+REPEAT = 0.06
 
 
 def _upper(z: float) -> float:
@@ -75,7 +75,7 @@ def battery(text: str) -> tuple[int, float] | None:
     at = np.array([alphabet.index(c) for c in body])
     counts = np.bincount(at, minlength=size)
     chi = float(((counts - n / size) ** 2).sum() / (n / size))
-    shift = n * EXCESS
+    shift = n * max(0.5, size * REPEAT - 1)
     p_uniform = _upper(-(chi - (size - 1) - shift) / math.sqrt(2 * (size - 1 + 2 * shift)))  # chance to be as even or more
     above = at >= size / 2
     n1 = int(above.sum())
