@@ -1,11 +1,510 @@
-"""Registry of the message-analytics queries: name to Spark function, name to DuckDB SQL."""
+"""Registry of the message-analytics queries: name to Spark function, name to DuckDB SQL.
+
+Each query applies operators to whole tables; SQL states the same result independently, over the
+fields that the message view is made from where the query parses messages.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.functions import mime
+from loomline.functions import text as X
+from loomline.operators import content, eda, parse, profile, sample, threads
+from loomline.plans.fixtures import EMAILS_SQL as E
+from loomline.plans.fixtures import emails, multipart, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+
+
+def _parsed(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    return parse.parse(emails(spark, sf_dir, **more))
+
+
+LABELLED = "(SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+_FIELDS = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic")
+_WS = r"[ \t\n\r\f\v]+"
+
+
+def _sql_words(column: str = "text") -> str:
+    out = f"lower(coalesce({column}, ''))"
+    for label in X.HEADER_LABELS:
+        out = rf"regexp_replace({out}, '{label}[^\n]*\n', '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[^a-zA-Z\s]', ' ', 'g'), '{_WS}', ' ', 'g'))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+
+
+def _sql_counts(by: str = "") -> str:
+    pick = f"{by}, " if by else ""
+    return f"SELECT {pick}word, count(*) AS n FROM (SELECT {pick}unnest(string_split({_sql_words()}, ' ')) AS word FROM documents) WHERE length(word) > 2 AND word NOT IN ({_STOP}) GROUP BY {pick}word"
+
+
+# --- words and lengths ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM ({_sql_counts()}) ORDER BY n DESC, word LIMIT 20")
+def word_frequency(spark, sf_dir):
+    return eda.word_frequency(_docs(spark, sf_dir), "text", 20)
+
+
+@query(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank FROM ({_sql_counts('lang')})) WHERE rank <= 5")
+def top_words_by_lang(spark, sf_dir):
+    return eda.top_words_by(_docs(spark, sf_dir), "text", "lang", 5)
+
+
+_TOKENS = rf"CASE WHEN trim(text, E' \t\n\r\f\v') = '' THEN 0 ELSE len(regexp_split_to_array(trim(text, E' \t\n\r\f\v'), '{_WS}')) END"
+
+
+def _sql_stats(c: str) -> str:
+    return f"round(avg({c}), 6) AS {c}_mean, round(median({c}), 6) AS {c}_median, min({c}) AS {c}_min, max({c}) AS {c}_max, round(stddev_samp({c}), 6) AS {c}_std"
+
+
+_STATS = f"SELECT {_sql_stats('chars')}, {_sql_stats('tokens')} FROM (SELECT length(text)::BIGINT AS chars, ({_TOKENS})::BIGINT AS tokens FROM documents)"
+
+
+@query(_STATS)
+def length_stats(spark, sf_dir):
+    return eda.length_stats(_docs(spark, sf_dir), "text")
+
+
+def _sql_histogram(value: str) -> str:
+    return f"""
+WITH x AS (SELECT ({value})::DOUBLE AS x FROM documents WHERE text IS NOT NULL), e AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+b AS (SELECT CASE WHEN lo = hi THEN 1 ELSE least(floor((x - lo) * 50 / (hi - lo)) + 1, 50) END::BIGINT AS bin, count(*) AS n FROM x, e GROUP BY 1)
+SELECT r.bin::BIGINT AS bin, coalesce(b.n, 0)::BIGINT AS n FROM range(1, 51) r(bin) LEFT JOIN b ON r.bin = b.bin"""
+
+
+@query(_sql_histogram("length(text)"))
+def length_histogram(spark, sf_dir):
+    return eda.histogram(_docs(spark, sf_dir), X.n_chars(F.col("text")))
+
+
+@query(_sql_histogram(_TOKENS))
+def token_histogram(spark, sf_dir):
+    return eda.histogram(_docs(spark, sf_dir), X.n_tokens(F.col("text")))
+
+
+# --- sampling ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT * FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 100")
+def sample_exact(spark, sf_dir):
+    return sample.sample_exact(_docs(spark, sf_dir), 100, key="doc_id")
+
+
+@query("SELECT 100::BIGINT AS n_rows, true AS size_ok, 5::BIGINT AS n_columns, true AS columns_ok, 0::BIGINT AS extra_rows")
+def sample_verify(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return sample.verify_sample(sample.sample_exact(docs, 100, key="doc_id"), docs, 100)
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 5")
+def head_rows(spark, sf_dir):
+    return sample.head(_docs(spark, sf_dir), 5, "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source ORDER BY n DESC, source LIMIT 10")
+def top_sources(spark, sf_dir):
+    return sample.top_values(_docs(spark, sf_dir), "source")
+
+
+# --- profiling -----------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT count(*) AS n_rows, 7::BIGINT AS n_columns FROM {LABELLED}")
+def table_shape(spark, sf_dir):
+    return profile.shape(_labelled(spark, sf_dir))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field_name, n_null FROM (SELECT count(*) - count({c}) AS n_null FROM {LABELLED}) WHERE n_null > 0" for c in _FIELDS))
+def null_counts(spark, sf_dir):
+    return profile.null_counts(_labelled(spark, sf_dir))
+
+
+@query("SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS n_duplicate_rows FROM documents")
+def duplicate_row_count(spark, sf_dir):
+    return profile.duplicate_row_count(_docs(spark, sf_dir).select("text", "lang"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS field_name, round(avg(CASE WHEN {c} IS NULL THEN 0 ELSE 1 END) * 100, 6) AS completeness_percentage FROM {LABELLED}" for c in _FIELDS))
+def field_completeness(spark, sf_dir):
+    return profile.field_completeness(_labelled(spark, sf_dir))
+
+
+_NULLS = " + ".join(f"({c} IS NULL)::INT" for c in _FIELDS)
+
+
+@query(f"SELECT round((count(*) * 7 - sum({_NULLS})) / (count(*) * 7) * 100, 6) AS overall_completeness FROM {LABELLED}")
+def overall_completeness(spark, sf_dir):
+    return profile.overall_completeness(_labelled(spark, sf_dir))
+
+
+@query("SELECT doc_id, lang FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS c FROM documents) WHERE c > 1")
+def duplicate_rows_keep_all(spark, sf_dir):
+    return profile.duplicates(_docs(spark, sf_dir), "lang", "text").select("doc_id", "lang")
+
+
+_ROW_NULLS = " + ".join(f"({c} IS NULL)::INT" for c in _FIELDS if c != "doc_id")
+
+
+@query(f"SELECT doc_id AS email_index, ({_ROW_NULLS})::INT AS missing_field, false AS has_encoding_issues, count(*) OVER (PARTITION BY lang, text) > 1 AS is_duplicate FROM {LABELLED}")
+def row_quality_metrics(spark, sf_dir):
+    return profile.row_metrics(_labelled(spark, sf_dir), "doc_id", "text", ("lang", "text"))
+
+
+@query(f"SELECT count(*) AS total, 0::BIGINT AS encoding_issues, count(*) FILTER (WHERE c > 1) AS duplicate_rows FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS c FROM {LABELLED})")
+def quality_summary(spark, sf_dir):
+    return profile.summary(_labelled(spark, sf_dir), "doc_id", "text", ("lang", "text")).select("total", "encoding_issues", "duplicate_rows")
+
+
+# --- parsing -------------------------------------------------------------------------------------------------
+
+_BODY = rf"trim(concat(text, chr(10), quote), E' \t\n\r\f\v')"
+# the modern header rules write dates anew, without comments
+_WRITTEN = "regexp_replace(date, ' .UTC.$', '')"
+
+
+def _sql_headers(date: str) -> str:
+    return f"SELECT id, message_id, in_reply_to, sender AS \"from\", recipient AS \"to\", subject, {date} AS date, {_BODY} AS body_text FROM {E}"
+
+
+
+@query(_sql_headers("date"))
+def parse_headers_native(spark, sf_dir):
+    return parse.parse_native(emails(spark, sf_dir)).select("id", "message_id", "in_reply_to", "from", "to", "subject", "date", "body_text")
+
+
+@query(_sql_headers(_WRITTEN))
+def parse_headers_mime(spark, sf_dir):
+    h = F.col("headers")
+    return _parsed(spark, sf_dir).select("id", *[h[c].alias(c) for c in ("message_id", "in_reply_to", "from", "to", "subject", "date")], "body_text")
+
+
+@query(f"SELECT id, CASE WHEN turn > 0 THEN 8 ELSE 7 END::BIGINT AS n_headers, subject, '1.0' AS mime_version FROM {E}")
+def parse_all_headers(spark, sf_dir):
+    a = F.col("all_headers")
+    return _parsed(spark, sf_dir).select("id", F.size(a).cast("long").alias("n_headers"), a["subject"].alias("subject"), a["mime-version"].alias("mime_version"))
+
+
+@query(r"SELECT page_id::VARCHAR AS id, 'page ' || page_id || ' at ' || coalesce(url, '') AS body_text, trim(html, E' \t\n\r\f\v') AS body_html, true AS parsing_success FROM pages WHERE html IS NOT NULL")
+def parse_multipart_bodies(spark, sf_dir):
+    return parse.parse(multipart(spark, sf_dir)).select("id", "body_text", "body_html", "parsing_success")
+
+
+_BAD = f"(SELECT *, seq % 50 <> 0 AS ok FROM {E})"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed, round(count(*) FILTER (WHERE ok) / count(*), 4) AS success_rate FROM {_BAD}")
+def parse_report(spark, sf_dir):
+    return parse.report(_parsed(spark, sf_dir, bad_every=50))
+
+
+@query(f"SELECT 'initial_value must be str or None, not float' AS error, count(*) AS n FROM {_BAD} WHERE NOT ok HAVING count(*) > 0")
+def parse_error_distribution(spark, sf_dir):
+    return parse.error_distribution(_parsed(spark, sf_dir, bad_every=50))
+
+
+@query(f"SELECT id, CASE WHEN ok THEN message_id END AS message_id, CASE WHEN ok THEN in_reply_to END AS in_reply_to, NULL::VARCHAR AS \"references\", CASE WHEN ok THEN subject END AS subject, CASE WHEN ok THEN sender END AS \"from\", CASE WHEN ok THEN {_WRITTEN} END AS date, 'box/' || id AS source_filename FROM {_BAD}")
+def thread_hints(spark, sf_dir):
+    return parse.thread_hints(_parsed(spark, sf_dir, bad_every=50))
+
+
+@query(f"SELECT id, seq, CASE WHEN ok THEN sender ELSE 'Unknown' END AS sender, CASE WHEN ok THEN recipient ELSE 'Unknown' END AS recipient, CASE WHEN ok THEN subject ELSE 'No Subject' END AS subject, CASE WHEN ok THEN date ELSE '' END AS date_str FROM {_BAD}")
+def message_metadata(spark, sf_dir):
+    return parse.metadata(emails(spark, sf_dir, bad_every=50))
+
+
+# --- headers, subjects, references ---------------------------------------------------------------------------
+
+_BARE_SUBJECT = rf"lower(trim(regexp_replace(regexp_replace(trim(subject), '^(?i:re|fwd|fw):\s*', ''), '{_WS}', ' ', 'g')))"
+
+
+@query(f"SELECT id, {_BARE_SUBJECT} AS normalized_subject FROM {E}")
+def subject_normalize(spark, sf_dir):
+    return parse.parse_native(emails(spark, sf_dir)).select("id", X.normalize_subject(F.col("subject")).alias("normalized_subject"))
+
+
+@query(f"SELECT id, list_transform(range(0, turn), lambda t: 'c' || conv_id || '.' || t || '@ex.com')::VARCHAR AS reference_ids FROM {E}")
+def references_list(spark, sf_dir):
+    rows = parse.parse_native(emails(spark, sf_dir, refs=True))
+    return rows.select("id", F.concat(F.lit("["), F.array_join(X.references(F.col("references")), ", "), F.lit("]")).alias("reference_ids"))
+
+
+@query(f"SELECT id, lower(role) || ' <' || lower(role) || conv_id || '@ex.com>' AS sender, 'all' || conv_id || '@ex.com, Doe, Jo <jo' || turn || '@ex.com>' AS recipients FROM {E}")
+def address_normalize(spark, sf_dir):
+    rows = parse.parse_native(emails(spark, sf_dir))
+    return rows.select("id", mime.address_col(F.col("from")).alias("sender"), mime.address_list_col(F.col("to")).alias("recipients"))
+
+
+@query(f"SELECT id, iso AS iso_date, iso AS iso_native, strftime(timezone('UTC', iso::TIMESTAMPTZ), '%Y-%m-%d %H:%M:%S') AS utc FROM {E}")
+def date_normalize(spark, sf_dir):
+    rows = parse.parse_native(emails(spark, sf_dir))
+    date = F.col("date")
+    utc = F.date_format(F.to_utc_timestamp(X.date_timestamp(date), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    return rows.select("id", mime.iso_date_col(date).alias("iso_date"), X.date_iso(date).alias("iso_native"), utc.alias("utc"))
+
+
+# --- threads -------------------------------------------------------------------------------------------------
+
+
+def _records(spark, sf_dir, refs=False):
+    return threads.reference_records(_parsed(spark, sf_dir, refs=refs))
+
+
+@query(f"SELECT 'c' || conv_id || '.' || turn || '@ex.com' AS message_id, seq AS first_seq, subject, {_BARE_SUBJECT} AS normalized_subject FROM {E}")
+def thread_nodes(spark, sf_dir):
+    return threads.nodes(_records(spark, sf_dir)).select("message_id", "first_seq", "subject", "normalized_subject")
+
+
+@query(f"SELECT 'c' || a.conv_id || '.' || b.turn || '@ex.com' AS src, 'c' || a.conv_id || '.' || a.turn || '@ex.com' AS dst, 'reference' AS relationship FROM {E} a JOIN {E} b ON a.conv_id = b.conv_id AND b.turn < a.turn")
+def thread_edges(spark, sf_dir):
+    records = _records(spark, sf_dir, refs=True)
+    return threads.edges(records, threads.nodes(records))
+
+
+@query(f"SELECT 'c' || conv_id || '.0@ex.com' AS message_id, seq AS first_seq FROM {E} WHERE turn = 0")
+def thread_roots(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    nodes = threads.nodes(records)
+    return threads.roots(nodes, threads.edges(records, nodes))
+
+
+def _sql_threads(depth: str) -> str:
+    return f"""
+SELECT format('thread_{{:04d}}', row_number() OVER (ORDER BY conv_id)) AS thread_id, 'c' || conv_id || '.0@ex.com' AS root_message_id, count(*) AS message_count,
+  '[' || string_agg('c' || conv_id || '.' || turn || '@ex.com', ', ' ORDER BY turn) || ']' AS message_ids, {depth}::BIGINT AS thread_depth, count(DISTINCT sender) AS n_participants,
+  count(DISTINCT subject) AS n_subjects, min(iso::TIMESTAMPTZ) IS NOT NULL AS has_dates, 'topic ' || conv_id AS normalized_subject
+FROM {E} GROUP BY conv_id"""
+
+
+def _shown(t: DataFrame) -> DataFrame:
+    return t.select(
+        "thread_id", "root_message_id", "message_count", F.concat(F.lit("["), F.array_join("message_ids", ", "), F.lit("]")).alias("message_ids"), "thread_depth",
+        F.size("participants").cast("long").alias("n_participants"), F.size("subject_variants").cast("long").alias("n_subjects"), F.col("date_range.start").isNotNull().alias("has_dates"), "normalized_subject",
+    )
+
+
+@query(_sql_threads("max(turn)"))
+def thread_summary(spark, sf_dir):
+    return _shown(threads.threads(_records(spark, sf_dir)))
+
+
+@query(_sql_threads("least(max(turn), 1)"))
+def thread_summary_fullrefs(spark, sf_dir):
+    return _shown(threads.threads(_records(spark, sf_dir, refs=True)))
+
+
+_PER_THREAD = f"(SELECT conv_id, count(*) AS n, max(turn) AS d, count(DISTINCT sender) AS p FROM {E} GROUP BY conv_id)"
+
+
+@query(f"SELECT count(*) AS total_threads, sum(n)::BIGINT AS total_messages_threaded, round(avg(n), 6) AS avg_thread_length, max(n) AS max_thread_length, round(avg(d), 6) AS avg_thread_depth, round(avg(p), 6) AS avg_participants, count(*) FILTER (WHERE n = 1) AS single_message_threads, count(*) FILTER (WHERE n >= 5) AS long_threads FROM {_PER_THREAD}")
+def thread_quality_metrics(spark, sf_dir):
+    return threads.quality_metrics(threads.threads(_records(spark, sf_dir)))
+
+
+@query("SELECT count(*) AS n_messages, count(*) AS n_nodes, count(DISTINCT conv_id) AS n_threads, count(*) AS distinct_messages_threaded, count(*) AS total_messages_threaded, 0::BIGINT AS dropped_messages FROM conversations")
+def thread_report(spark, sf_dir):
+    records = _records(spark, sf_dir)
+    return threads.summary(threads.threads(records), records)
+
+
+# --- content -------------------------------------------------------------------------------------------------
+
+
+def _sql_clean(x: str) -> str:
+    one = rf"trim(regexp_replace(l, '{_WS}', ' ', 'g'))"
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: {one}), lambda l: l <> ''), chr(10))"
+
+
+@query(f"SELECT doc_id, {_sql_clean('text')} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.clean_text(F.col("text")).alias("clean"))
+
+
+def _sql_html(x: str) -> str:
+    out = rf"regexp_replace({x}, '(?s)<!--.*?-->', '', 'g')"
+    for tag in ("script", "style"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g')"
+    out = rf"regexp_replace(regexp_replace({out}, '(?i)<br\s*/?>|</?p(?:\s[^>]*)?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, value in X.ENTITIES.items():
+        v = value.replace("'", "''")
+        out = f"replace({out}, '&{name};', '{v}')"
+    return out
+
+
+@query(f"SELECT page_id, {_sql_clean(_sql_html('html'))} AS plain FROM pages")
+def html_to_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("plain"))
+
+
+@query(f"SELECT page_id, {_sql_clean(_sql_html('html'))} <> '' AS has_text FROM pages")
+def html_to_text_parser(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", (X.clean_text(mime.html_text_col(F.col("html"))) != "").alias("has_text"))
+
+
+_ORIGINAL, _QUOTED = _sql_clean("text"), f"trim({_sql_clean('quote')})"
+
+
+@query(f"SELECT id, {_ORIGINAL} AS original, {_QUOTED} AS quoted FROM {E}")
+def quote_split(spark, sf_dir):
+    rows = parse.parse_native(emails(spark, sf_dir)).select("id", X.quote_split(X.clean_text(F.col("body_text"))).alias("q"))
+    return rows.select("id", "q.original", "q.quoted")
+
+
+_FROM = "lower(role) || ' <' || lower(role) || conv_id || '@ex.com>'"
+_TO = "'all' || conv_id || '@ex.com, doe, jo <jo' || turn || '@ex.com>'"
+_HASH = f"sha256({_FROM} || '|' || {_TO} || '|' || trim(subject) || '|' || {_ORIGINAL} || '|' || iso)"
+
+
+@query(f"SELECT id, message_id, {_FROM} AS \"from\", iso AS date, subject, {_ORIGINAL} AS body_original, {_QUOTED} AS body_quoted, {_HASH} AS content_hash, 'box/' || id AS source_filename, turn > 0 AS quotes_detected, length({_ORIGINAL})::BIGINT AS processed_length FROM {E} WHERE {_ORIGINAL} || quote <> ''")
+def content_records(spark, sf_dir):
+    m = F.col("processing_metadata")
+    done = content.process(_parsed(spark, sf_dir))
+    return done.select("id", "message_id", "from", "date", "subject", "body_original", "body_quoted", "content_hash", "source_filename", m["quotes_detected"].alias("quotes_detected"), m["processed_length"].alias("processed_length"))
+
+
+@query(f"SELECT doc_id, sha256(lower(source) || '||' || lang || '|' || trim(text, E' \\t\\n\\r\\f\\v') || '|') AS content_hash FROM documents")
+def content_fingerprint(spark, sf_dir):
+    c = F.col
+    return _docs(spark, sf_dir).select("doc_id", X.content_hash(c("source"), F.lit(None).cast("string"), c("lang"), c("text"), F.lit(None).cast("string")).alias("content_hash"))
+
+
+@query("SELECT min(doc_id) AS seq, sha256('|||' || trim(text, E' \\t\\n\\r\\f\\v') || '|') AS content_hash FROM documents GROUP BY 2")
+def content_dedup(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    hashed = _docs(spark, sf_dir).select(F.col("doc_id").alias("seq"), X.content_hash(none, none, none, F.col("text"), none).alias("content_hash"))
+    return content.distinct_content(hashed)
+
+
+_HAS_BODY = f"{_ORIGINAL} || quote <> ''"
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_HAS_BODY}) AS processed, count(*) FILTER (WHERE NOT ({_HAS_BODY})) AS failed, round(count(*) FILTER (WHERE {_HAS_BODY}) / count(*), 4) AS success_rate, count(*) FILTER (WHERE turn > 0) AS with_quotes, 0::BIGINT AS from_html FROM {E}")
+def content_stats(spark, sf_dir):
+    parsed = _parsed(spark, sf_dir)
+    return content.report(content.process(parsed), parsed)
+
+
+_CAP = """
+WITH r AS (SELECT event_id AS seq, event_id % 7 = 3 AS failed, floor(event_id / 100)::BIGINT AS b FROM events),
+x AS (SELECT *, sum(failed::INT) OVER (ORDER BY seq) AS g, sum(failed::INT) OVER (PARTITION BY b ORDER BY seq) AS k FROM r),
+s AS (SELECT min(b) AS stop FROM x WHERE g > 50)
+SELECT seq FROM x, s WHERE NOT failed AND (stop IS NULL OR b < stop OR (b = stop AND g <= 50) OR (b > stop AND k = 0))"""
+
+
+@query(_CAP)
+def error_cap(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 7 == 3).alias("failed"))
+    return content.capped(rows, 50).select("seq")
+
+
+# --- correspondents and times --------------------------------------------------------------------------------
+
+
+@query(f"SELECT sender, count(*) AS n FROM {E} GROUP BY sender ORDER BY n DESC, sender LIMIT 10")
+def sender_counts(spark, sf_dir):
+    return sample.top_values(parse.metadata(emails(spark, sf_dir)), "sender")
+
+
+@query(f"SELECT recipient, count(*) AS n FROM {E} GROUP BY recipient ORDER BY n DESC, recipient LIMIT 10")
+def recipient_counts(spark, sf_dir):
+    return sample.top_values(parse.metadata(emails(spark, sf_dir)), "recipient")
+
+
+@query(f"SELECT count(DISTINCT sender) AS n_sender, count(DISTINCT recipient) AS n_recipient FROM {E}")
+def distinct_counts(spark, sf_dir):
+    return eda.distinct_counts(parse.metadata(emails(spark, sf_dir)), "sender", "recipient")
+
+
+@query("SELECT source, CASE WHEN length(t) > 30 THEN substr(t, 1, 30) || '...' ELSE t END AS label FROM (SELECT source, min(text) AS t FROM documents GROUP BY source)")
+def truncated_labels(spark, sf_dir):
+    return _docs(spark, sf_dir).groupBy("source").agg(F.min("text").alias("t")).select("source", X.truncated(F.col("t")).alias("label"))
+
+
+def _times(spark, sf_dir):
+    return eda.with_times(table(spark, sf_dir, "events"), F.col("ts"))
+
+
+@query("SELECT hour(ts)::BIGINT AS hour, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def hourly_activity(spark, sf_dir):
+    return eda.hour_counts(_times(spark, sf_dir))
+
+
+_DAYS = "(VALUES " + ", ".join(f"({i}, '{d}')" for i, d in enumerate(eda.WEEKDAYS)) + ") d(day_no, weekday)"
+
+
+@query(f"SELECT d.day_no::BIGINT AS day_no, d.weekday, coalesce(e.n, 0)::BIGINT AS n FROM {_DAYS} LEFT JOIN (SELECT dayname(ts) AS weekday, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1) e ON d.weekday = e.weekday")
+def weekday_activity(spark, sf_dir):
+    return eda.weekday_counts(_times(spark, sf_dir))
+
+
+@query("SELECT ts::DATE AS date_only, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def daily_activity(spark, sf_dir):
+    return eda.day_counts(_times(spark, sf_dir))
+
+
+_PEAK = "(SELECT {0} FROM events WHERE ts IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@query(f"SELECT {_PEAK.format('hour(ts)::BIGINT')} AS peak_hour, {_PEAK.format('dayname(ts)')} AS peak_weekday")
+def peak_activity(spark, sf_dir):
+    return eda.peaks(_times(spark, sf_dir))
+
+
+_RANGE = "SELECT strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events"
+
+
+@query(_RANGE)
+def date_range(spark, sf_dir):
+    return eda.date_range(_times(spark, sf_dir))
+
+
+_SHARE = "(SELECT coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM events WHERE {0} IS NOT NULL GROUP BY {0} ORDER BY n DESC, {0} LIMIT 10))"
+
+
+@query(f"SELECT {_SHARE.format('user_id')} AS top_user_id_rows")
+def top_user_share(spark, sf_dir):
+    return eda.top_share(table(spark, sf_dir, "events"), "user_id")
+
+
+@query(f"""
+SELECT (SELECT count(*) FROM documents) AS n_messages, s.*, w.word AS top_word, w.n AS top_word_n,
+  (SELECT count(DISTINCT user_id) FROM events WHERE ts IS NOT NULL) AS n_user_id, (SELECT count(DISTINCT event_type) FROM events WHERE ts IS NOT NULL) AS n_event_type,
+  {_SHARE.format('user_id')} AS top_user_id_rows, {_SHARE.format('event_type')} AS top_event_type_rows,
+  {_PEAK.format('hour(ts)::BIGINT')} AS peak_hour, {_PEAK.format('dayname(ts)')} AS peak_weekday, r.*
+FROM ({_STATS}) s, (SELECT * FROM ({_sql_counts()}) ORDER BY n DESC, word LIMIT 1) w, ({_RANGE}) r""")
+def eda_summary(spark, sf_dir):
+    return eda.summary(_docs(spark, sf_dir), "text", _times(spark, sf_dir), "user_id", "event_type")
