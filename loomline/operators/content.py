@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import mime
 from loomline.functions import text as X
+from loomline.sources.tables import sum_before
 
 
 def normalized_headers(parsed: DataFrame, compat: bool = False) -> DataFrame:
@@ -41,15 +42,25 @@ def capped(rows: DataFrame, max_errors: int, batch: int = 100, failed: str = "fa
     b = rows.withColumn("_b", F.floor(F.col("seq") / batch).cast("long"))
     here = Window.partitionBy("_b").orderBy("seq")
     b = b.withColumn("_in", F.sum(F.col(failed).cast("long")).over(here))
-    per = b.groupBy("_b").agg(F.sum(F.col(failed).cast("long")).alias("_k"))
-    per = per.withColumn("_before", F.coalesce(F.sum("_k").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_k")
-    first = per.join(b.groupBy("_b").agg(F.max("_in").alias("_k")), "_b").where(F.col("_before") + F.col("_k") > max_errors).agg(F.min("_b").alias("_stop"))
+    sums = b.groupBy("_b").agg(F.sum(F.col(failed).cast("long")).alias("_k"))
+    per = sum_before(sums, "_b", "_k", "_before")
+    first = per.where(F.col("_before") + F.col("_k") > max_errors).agg(F.min("_b").alias("_stop"))
+    per = per.drop("_k")
     x = b.join(per, "_b").crossJoin(first)
     stop, run = F.col("_stop"), F.col("_before") + F.col("_in")
     keep = stop.isNull() | (F.col("_b") < stop) | ((F.col("_b") == stop) & (run <= max_errors)) | ((F.col("_b") > stop) & (F.col("_in") == 0))
     return x.where(keep & ~F.col(failed)).drop("_b", "_in", "_before", "_stop")
 
 
+def capped_failures(rows: DataFrame, max_errors: int, batch: int = 100, failed: str = "failed") -> DataFrame:
+    """One row: the errors that such a loop meets before it leaves its batches."""
+    sums = rows.groupBy(F.floor(F.col("seq") / batch).cast("long").alias("_b")).agg(F.sum(F.col(failed).cast("long")).alias("_k"))
+    per = sum_before(sums, "_b", "_k", "_before")
+    stop = per.where(F.col("_before") + F.col("_k") > max_errors).agg(F.min("_b").alias("_stop"))
+    met = F.when(F.col("_stop").isNull() | (F.col("_b") < F.col("_stop")), F.col("_k")).when(F.col("_b") == F.col("_stop"), max_errors + 1 - F.col("_before")).otherwise(F.least(F.col("_k"), F.lit(1)))
+    return per.crossJoin(stop).agg(F.coalesce(F.sum(met), F.lit(0)).cast("long").alias("failed_processing"))
+
+
 def process(parsed: DataFrame, compat: bool = False, html: str = "native", max_errors: int | None = None) -> DataFrame:
     """Messages with a body as records: headers, original and quoted body, content hash, metadata.
 
@@ -86,15 +97,15 @@ def fingerprints(processed: DataFrame) -> DataFrame:
 
 
 def distinct_content(processed: DataFrame) -> DataFrame:
-    """The first row of each content hash; the window is over hashes and ids, combined before the join."""
+    """The first row of each content hash; hashes are combined before the join, which splits hot ones."""
     first = processed.groupBy("content_hash").agg(F.min("seq").alias("_first"))
     return processed.join(first, "content_hash").where(F.col("seq") == F.col("_first")).drop("_first")
 
 
 def report(processed: DataFrame, parsed: DataFrame) -> DataFrame:
-    """One row: messages, processed, failed, rate, with quotes, from HTML."""
+    """One row of counts and the rate."""
     m = F.col("processing_metadata")
-    done = processed.agg(F.count(F.lit(1)).alias("processed"), F.count_if(m["quotes_detected"]).alias("with_quotes"), F.count_if(m["html_stripped"]).alias("from_html"))
-    total = parsed.agg(F.count(F.lit(1)).alias("total"))
-    rate = F.coalesce(F.round(F.col("processed") / F.nullif(F.col("total"), F.lit(0)), 4), F.lit(0.0))
-    return total.crossJoin(done).select("total", "processed", (F.col("total") - F.col("processed")).alias("failed"), rate.alias("success_rate"), "with_quotes", "from_html")
+    done = processed.agg(F.count(F.lit(1)).alias("ok"), F.count_if(m["quotes_detected"]).alias("quotes_detected"), F.count_if(m["html_stripped"]).alias("html_emails"))
+    total = parsed.agg(F.count(F.lit(1)).alias("total_input"))
+    rate = F.coalesce(F.round(F.col("ok") / F.nullif(F.col("total_input"), F.lit(0)), 6), F.lit(0.0))
+    return total.crossJoin(done).select("total_input", F.col("ok").alias("successfully_processed"), (F.col("total_input") - F.col("ok")).alias("failed_processing"), rate.alias("success_rate"), "quotes_detected", "html_emails")

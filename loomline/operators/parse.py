@@ -31,7 +31,7 @@ def report(parsed: DataFrame) -> DataFrame:
     """One row: total, successes, failures and the rate; no rows give rate 0."""
     ok = F.count_if("parsing_success")
     n = F.count(F.lit(1))
-    return parsed.agg(n.alias("total"), ok.alias("successful"), (n - ok).alias("failed"), F.coalesce(F.round(ok / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("success_rate"))
+    return parsed.agg(n.alias("total_emails"), ok.alias("successful_parsing"), (n - ok).alias("failed_parsing"), F.coalesce(F.round(ok / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("success_rate"))
 
 
 def error_distribution(parsed: DataFrame, k: int = 10, compat: bool = False) -> DataFrame:
@@ -44,7 +44,7 @@ def error_distribution(parsed: DataFrame, k: int = 10, compat: bool = False) ->
 
 def full_report(parsed: DataFrame) -> DataFrame:
     """The report with the errors as a map."""
-    errors = error_distribution(parsed).agg(F.map_from_entries(F.collect_list(F.struct("error", "n"))).alias("error_types"))
+    errors = error_distribution(parsed).agg(F.map_from_entries(F.collect_list(F.struct("error", "n"))).alias("error_distribution"))
     return report(parsed).crossJoin(errors)
 
 

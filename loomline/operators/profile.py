@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a quality report recommends.
-RECOMMENDATIONS = ("Fill missing fields before analysis", "Repair texts that are not valid UTF-8", "Remove duplicate messages")
+RECOMMENDATIONS = ("Review fields with completeness < 90%", "Fix encoding issues before NLP processing", "Remove duplicates for unbiased statistics")
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -49,26 +49,33 @@ def bad_encoding(column: Column) -> Column:
     return F.coalesce(~F.is_valid_utf8(column.cast("string")), F.lit(False))
 
 
+def _with_count(df: DataFrame, subset: tuple[str, ...]) -> DataFrame:
+    """df with _n, the rows that agree with a row on the subset, nulls equal.
+
+    Digests are counted before they are joined back, so a hot group costs a row a task, and the join
+    splits its rows.
+    """
+    keyed = df.withColumn("_k", F.sha2(F.to_json(F.struct(*subset), {"ignoreNullFields": "false"}), 256))
+    return keyed.join(keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")), "_k").drop("_k")
+
+
 def duplicates(df: DataFrame, *subset: str) -> DataFrame:
-    """All rows of groups with several rows, nulls equal; one hash decides the group, so long texts aren't sorted."""
-    key = [F.xxhash64(*subset), F.sha2(F.to_json(F.struct(*subset), {"ignoreNullFields": "false"}), 256)]
-    sized = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*key)))
-    return sized.where("_n > 1").drop("_n")
+    """All rows of groups with several rows, nulls equal."""
+    return _with_count(df, subset).where("_n > 1").drop("_n")
 
 
 def row_metrics(df: DataFrame, index: str = "seq", text: str = "message", subset: tuple[str, ...] = ("file", "message")) -> DataFrame:
     """Per row: number of nulls, encoding flag, duplicate flag."""
-    fields = [c for c in df.columns if c != index]
-    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in fields])
+    nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns if c != index])
     key = F.sha2(F.to_json(F.struct(*subset), {"ignoreNullFields": "false"}), 256)
-    flags = df.select(F.col(index).cast("long").alias("email_index"), nulls.alias("missing_field"), bad_encoding(F.col(text)).alias("has_encoding_issues"), key.alias("_k"))
-    return flags.withColumn("is_duplicate", F.count(F.lit(1)).over(Window.partitionBy("_k")) > 1).drop("_k")
+    flags = df.select(F.col(index).cast("long").alias("email_index"), nulls.alias("missing_field"), bad_encoding(F.col(text)).alias("has_encoding_issues"), key.alias("key"))
+    return _with_count(flags, ("key",)).select("email_index", "missing_field", "has_encoding_issues", (F.col("_n") > 1).alias("is_duplicate"))
 
 
 def summary(df: DataFrame, index: str = "seq", text: str = "message", subset: tuple[str, ...] = ("file", "message")) -> DataFrame:
     """One row: total, completeness by field, rows with encoding issues, duplicate rows, recommendations."""
     fields = [c for c in df.columns if c != index]
     complete = F.map_from_entries(F.array(*[F.struct(F.lit(c), F.round(F.avg(F.col(c).isNotNull().cast("int")) * 100, 6)) for c in fields]))
-    counts = row_metrics(df, index, text, subset).agg(F.count_if("has_encoding_issues").alias("encoding_issues"), F.count_if("is_duplicate").alias("duplicate_rows"))
-    one = df.agg(F.count(F.lit(1)).alias("total"), complete.alias("completeness"))
+    counts = row_metrics(df, index, text, subset).agg(F.count_if("has_encoding_issues").alias("num_encoding_issues"), F.count_if("is_duplicate").alias("num_duplicates"))
+    one = df.agg(F.count(F.lit(1)).alias("total_emails"), complete.alias("field_completeness"))
     return one.crossJoin(counts).withColumn("recommendations", F.array(*map(F.lit, RECOMMENDATIONS)))

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.sources.tables import written
+from loomline.sources.tables import ranked, written
 
 
 def reference_records(parsed: DataFrame, compat: bool = False) -> DataFrame:
@@ -75,8 +75,7 @@ def threads(records: DataFrame, compat: bool = False) -> DataFrame:
     n = written(nodes(records), "nodes")
     e = written(edges(records, n), "edges")
     r = roots(n, e)
-    # roots are numbered in order of first appearance: a count in sub-ranges would do beyond one task's rows
-    numbered = r.select("message_id", F.format_string("thread_%04d", F.row_number().over(Window.orderBy("first_seq"))).alias("thread_id"))
+    numbered = ranked(r, "place", "first_seq", "message_id").select("message_id", F.format_string("thread_%04d", F.col("place") + 1).alias("thread_id"))
     members = reach(r, e).join(n, F.col("node") == F.col("message_id"))
     stamp = X.date_timestamp(F.col("date"))
     iso = lambda f: F.lit(None).cast("string") if compat else X.date_iso(f("date", stamp))
@@ -102,20 +101,25 @@ def quality_metrics(threads_: DataFrame) -> DataFrame:
     return threads_.agg(
         F.count(F.lit(1)).alias("total_threads"),
         F.sum(m).alias("total_messages_threaded"),
-        rounded(m).alias("avg_thread_length"),
-        F.max(m).alias("max_thread_length"),
+        rounded(m).alias("avg_messages_per_thread"),
+        F.max("thread_depth").alias("max_thread_depth"),
         rounded("thread_depth").alias("avg_thread_depth"),
-        rounded(F.size("participants")).alias("avg_participants"),
+        rounded(F.size("participants")).alias("avg_participants_per_thread"),
         F.count_if(m == 1).alias("single_message_threads"),
-        F.count_if(m >= 5).alias("long_threads"),
-        F.count_distinct(F.lit(1)).alias("_any"),
-    ).where("total_threads > 0").drop("_any")
+        F.count_if(m >= 5).alias("complex_threads"),
+    ).where("total_threads > 0")
 
 
 def summary(threads_: DataFrame, records: DataFrame) -> DataFrame:
-    """One row: messages read, messages in threads (once each), those that no root reaches, threads."""
-    held = threads_.select(F.explode("message_ids").alias("m")).agg(F.count_distinct("m").alias("distinct_messages_threaded"), F.count(F.lit(1)).alias("total_messages_threaded"))
-    n = nodes(records).agg(F.count(F.lit(1)).alias("n_nodes"))
-    t = threads_.agg(F.count(F.lit(1)).alias("n_threads"))
-    read = records.agg(F.count(F.lit(1)).alias("n_messages"))
-    return read.crossJoin(n).crossJoin(t).crossJoin(held).withColumn("dropped_messages", F.col("n_nodes") - F.col("distinct_messages_threaded"))
+    """One row of the reconstruction.
+
+    input_emails counts a message once for each thread it is in; distinct_messages_threaded counts it
+    once, and dropped_messages are those that no root reaches.
+    """
+    held = threads_.select(F.explode("message_ids").alias("m")).agg(F.count_distinct("m").alias("distinct_messages_threaded"), F.count(F.lit(1)).alias("input_emails"))
+    n = nodes(records).agg(F.count(F.lit(1)).alias("_nodes"))
+    t = threads_.agg(F.count(F.lit(1)).alias("output_threads"))
+    return held.crossJoin(n).crossJoin(t).select(
+        "input_emails", "output_threads", F.round(F.col("input_emails") / F.greatest("output_threads", F.lit(1)), 6).alias("threading_efficiency"),
+        "distinct_messages_threaded", (F.col("_nodes") - F.col("distinct_messages_threaded")).alias("dropped_messages"),
+    )

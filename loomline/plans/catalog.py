@@ -185,9 +185,9 @@ def row_quality_metrics(spark, sf_dir):
     return profile.row_metrics(_labelled(spark, sf_dir), "doc_id", "text", ("lang", "text"))
 
 
-@query(f"SELECT count(*) AS total, 0::BIGINT AS encoding_issues, count(*) FILTER (WHERE c > 1) AS duplicate_rows FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS c FROM {LABELLED})")
+@query(f"SELECT count(*) AS total_emails, 0::BIGINT AS num_encoding_issues, count(*) FILTER (WHERE c > 1) AS num_duplicates FROM (SELECT *, count(*) OVER (PARTITION BY lang, text) AS c FROM {LABELLED})")
 def quality_summary(spark, sf_dir):
-    return profile.summary(_labelled(spark, sf_dir), "doc_id", "text", ("lang", "text")).select("total", "encoding_issues", "duplicate_rows")
+    return profile.summary(_labelled(spark, sf_dir), "doc_id", "text", ("lang", "text")).select("total_emails", "num_encoding_issues", "num_duplicates")
 
 
 # --- parsing -------------------------------------------------------------------------------------------------
@@ -227,7 +227,7 @@ def parse_multipart_bodies(spark, sf_dir):
 _BAD = f"(SELECT *, seq % 50 <> 0 AS ok FROM {E})"
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS successful, count(*) FILTER (WHERE NOT ok) AS failed, round(count(*) FILTER (WHERE ok) / count(*), 4) AS success_rate FROM {_BAD}")
+@query(f"SELECT count(*) AS total_emails, count(*) FILTER (WHERE ok) AS successful_parsing, count(*) FILTER (WHERE NOT ok) AS failed_parsing, round(count(*) FILTER (WHERE ok) / count(*), 4) AS success_rate FROM {_BAD}")
 def parse_report(spark, sf_dir):
     return parse.report(_parsed(spark, sf_dir, bad_every=50))
 
@@ -330,12 +330,12 @@ def thread_summary_fullrefs(spark, sf_dir):
 _PER_THREAD = f"(SELECT conv_id, count(*) AS n, max(turn) AS d, count(DISTINCT sender) AS p FROM {E} GROUP BY conv_id)"
 
 
-@query(f"SELECT count(*) AS total_threads, sum(n)::BIGINT AS total_messages_threaded, round(avg(n), 6) AS avg_thread_length, max(n) AS max_thread_length, round(avg(d), 6) AS avg_thread_depth, round(avg(p), 6) AS avg_participants, count(*) FILTER (WHERE n = 1) AS single_message_threads, count(*) FILTER (WHERE n >= 5) AS long_threads FROM {_PER_THREAD}")
+@query(f"SELECT count(*) AS total_threads, sum(n)::BIGINT AS total_messages_threaded, round(avg(n), 6) AS avg_messages_per_thread, max(d) AS max_thread_depth, round(avg(d), 6) AS avg_thread_depth, round(avg(p), 6) AS avg_participants_per_thread, count(*) FILTER (WHERE n = 1) AS single_message_threads, count(*) FILTER (WHERE n >= 5) AS complex_threads FROM {_PER_THREAD}")
 def thread_quality_metrics(spark, sf_dir):
     return threads.quality_metrics(threads.threads(_records(spark, sf_dir)))
 
 
-@query("SELECT count(*) AS n_messages, count(*) AS n_nodes, count(DISTINCT conv_id) AS n_threads, count(*) AS distinct_messages_threaded, count(*) AS total_messages_threaded, 0::BIGINT AS dropped_messages FROM conversations")
+@query("SELECT count(*) AS input_emails, count(DISTINCT conv_id) AS output_threads, round(count(*) / count(DISTINCT conv_id), 6) AS threading_efficiency, count(*) AS distinct_messages_threaded, 0::BIGINT AS dropped_messages FROM conversations")
 def thread_report(spark, sf_dir):
     records = _records(spark, sf_dir)
     return threads.summary(threads.threads(records), records)
@@ -412,7 +412,7 @@ def content_dedup(spark, sf_dir):
 _HAS_BODY = f"{_ORIGINAL} || quote <> ''"
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE {_HAS_BODY}) AS processed, count(*) FILTER (WHERE NOT ({_HAS_BODY})) AS failed, round(count(*) FILTER (WHERE {_HAS_BODY}) / count(*), 4) AS success_rate, count(*) FILTER (WHERE turn > 0) AS with_quotes, 0::BIGINT AS from_html FROM {E}")
+@query(f"SELECT count(*) AS total_input, count(*) FILTER (WHERE {_HAS_BODY}) AS successfully_processed, count(*) FILTER (WHERE NOT ({_HAS_BODY})) AS failed_processing, round(count(*) FILTER (WHERE {_HAS_BODY}) / count(*), 6) AS success_rate, count(*) FILTER (WHERE turn > 0) AS quotes_detected, 0::BIGINT AS html_emails FROM {E}")
 def content_stats(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     return content.report(content.process(parsed), parsed)

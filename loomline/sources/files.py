@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomline.sources.schemas import PARSED, RAW
+from loomline.sources.tables import ranked
 
 # Texts that a CSV cell stands for a missing value by.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -34,9 +35,9 @@ def with_seq(df: DataFrame, name: str = "seq", *order: str) -> DataFrame:
     Positions are counted a partition at a time and offset by the rows of the partitions before, so no
     task sees all rows.
     """
-    marked = df.select("*", F.struct(*order).alias("_k") if order else F.monotonically_increasing_id().alias("_k"))
     if order:
-        return marked.withColumn(name, F.row_number().over(Window.orderBy("_k")).cast("long") - 1).drop("_k")
+        return ranked(df, name, *order)
+    marked = df.withColumn("_k", F.monotonically_increasing_id())
     part = F.shiftright("_k", 33)
     counts = marked.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +25,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/loomline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with its place from 0 in the order, as name.
+
+    Rows are dealt into ranges and ranked there; the ranges before add their counts. No task
+    sees more than a range, and the counts are one row a range.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_here", here).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + F.col("_here")).cast("long")).drop("_range", "_here", "_before")
+
+
+def sum_before(df: DataFrame, key: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """df (one row a key, a number from 0) with the sum of value over all smaller keys, as name: within blocks, and over the blocks' sums."""
+    rows = df.withColumn("_block", F.floor(F.col(key) / block).cast("long"))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
+    sums = sums.select("_block", before(Window.orderBy("_block"), "_sum").alias("_blocks"))
+    inner = rows.withColumn("_inner", before(Window.partitionBy("_block").orderBy(key), value))
+    return inner.join(sums, "_block").withColumn(name, F.col("_blocks") + F.col("_inner")).drop("_block", "_blocks", "_inner")

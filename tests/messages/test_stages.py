@@ -46,9 +46,9 @@ def test_graph_edge_cases(spark):
     again = {r.root_message_id: (r.message_ids, r.thread_depth) for r in threads.threads(rec.repartition(5)).collect()}
     assert again == {k: (v.message_ids, v.thread_depth) for k, v in got.items()}
     s = threads.summary(t, rec).first()
-    assert (s.n_messages, s.n_nodes, s.dropped_messages, s.total_messages_threaded) == (11, 9, 3, 9)
+    assert (s.output_threads, s.distinct_messages_threaded, s.dropped_messages, s.input_emails) == (3, 6, 3, 9)
     q = threads.quality_metrics(t).first()
-    assert q.total_messages_threaded == 9 and q.max_thread_length == 4 and q.single_message_threads == 1
+    assert q.total_messages_threaded == 9 and q.max_thread_depth == 3 and q.complex_threads == 0 and q.single_message_threads == 1
     assert threads.quality_metrics(t.limit(0)).count() == 0
 
 
@@ -70,7 +70,9 @@ def loop_cap(flags, cap, batch=100):
 def test_error_cap(spark, step):
     flags = [i % step == 1 for i in range(700)]
     df = spark.createDataFrame([(i, f) for i, f in enumerate(flags)], "seq long, failed boolean")
-    assert sorted(r.seq for r in content.capped(df, 20).collect()) == loop_cap(flags, 20)[0]
+    kept, failed = loop_cap(flags, 20)
+    assert sorted(r.seq for r in content.capped(df, 20).collect()) == kept
+    assert content.capped_failures(df, 20).first()[0] == failed
 
 
 def parsed_rows(spark):
@@ -95,7 +97,7 @@ def test_content_stage(spark):
     assert compat["1"]["from"] == "" and compat["0"].content_hash == done["0"].content_hash
     assert {r.body_original for r in content.process(parsed, html="parser").collect()} == {"body", "no subject", "One\ntwo"}
     r = content.report(content.process(parsed), parsed).first()
-    assert (r.total, r.processed, r.failed, r.with_quotes, r.from_html, r.success_rate) == (5, 3, 2, 1, 1, 0.6)
+    assert (r.total_input, r.successfully_processed, r.failed_processing, r.quotes_detected, r.html_emails, r.success_rate) == (5, 3, 2, 1, 1, 0.6)
     assert content.fingerprints(content.process(parsed)).columns == ["id", "content_hash", "message_id"]
     assert content.process(parsed, max_errors=50).count() == 3
 
@@ -103,7 +105,7 @@ def test_content_stage(spark):
 def test_parse_reports(spark):
     parsed = parsed_rows(spark)
     r = parse.full_report(parsed).first()
-    assert (r.total, r.failed, r.success_rate) == (5, 1, 0.8) and sum(r.error_types.values()) == 1
+    assert (r.total_emails, r.failed_parsing, r.success_rate) == (5, 1, 0.8) and sum(r.error_distribution.values()) == 1
     assert parse.report(parsed.limit(0)).first().success_rate == 0
     assert parse.error_distribution(parsed, compat=True).count() == 1
     h = {x.id: x for x in parse.thread_hints(parsed).collect()}
@@ -158,7 +160,7 @@ def test_profile(spark):
     m = {r.email_index: (r.missing_field, r.is_duplicate) for r in profile.row_metrics(df).collect()}
     assert m == {0: (1, True), 1: (1, True), 2: (0, False), 3: (2, False)}
     s = profile.summary(df).first()
-    assert s.total == 4 and s.completeness == {"file": 75.0, "message": 25.0} and len(s.recommendations) == 3
+    assert s.total_emails == 4 and s.field_completeness == {"file": 75.0, "message": 25.0} and len(s.recommendations) == 3
     assert profile.overall_completeness(df).first()[0] == round(8 / 12 * 100, 6)
     bad = spark.createDataFrame([(b"ok",), (b"\xff\xfe",), (None,)], "b binary")
     assert [r[0] for r in bad.select(profile.bad_encoding(F.col("b"))).collect()] == [False, True, False]
