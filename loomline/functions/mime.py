@@ -13,9 +13,11 @@ from html.parser import HTMLParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.sources.tables import ship
+
 HEADERS = ("from", "to", "cc", "bcc", "date", "subject", "message_id", "in_reply_to", "references")
 PARSED = pa.schema(
     [
@@ -67,6 +69,7 @@ def parse_message(raw: str | None, policy: str = "modern", lossy: bool = False)
 
 def parse_messages(df: DataFrame, text: str = "raw_text", policy: str = "modern", lossy: bool = False) -> DataFrame:
     """df without its text column, with the columns of PARSED: one pass over Arrow batches."""
+    ship(df.sparkSession)
     keep = [c for c in df.columns if c != text]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +148,8 @@ def html_text(raw: str | None) -> str:
 
 
 def _series(f, kind: str = "string"):
+    ship(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f(None if x is None or x is pd.NA else x), na_action=None).astype(object)

@@ -19,6 +19,11 @@ def types(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.dtypes, "field_name string, type string")
 
 
+def inspect(df: DataFrame, rows: int = 3) -> dict[str, DataFrame]:
+    """What a first look at a table shows."""
+    return {"shape": shape(df), "types": types(df), "null_counts": null_counts(df), "duplicate_rows": duplicate_row_count(df), "head": df.limit(rows)}
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Columns that have nulls, with their number."""
     one = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])

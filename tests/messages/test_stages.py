@@ -165,7 +165,8 @@ def test_profile(spark):
     bad = spark.createDataFrame([(b"ok",), (b"\xff\xfe",), (None,)], "b binary")
     assert [r[0] for r in bad.select(profile.bad_encoding(F.col("b"))).collect()] == [False, True, False]
     assert profile.duplicate_row_count(df.drop("seq")).first()[0] == 1
-    assert profile.types(df).count() == 3
+    seen = profile.inspect(df)
+    assert seen["types"].count() == 3 and seen["head"].count() == 3 and seen["shape"].first().n_rows == 4
 
 
 def test_histogram_and_modes(spark):
