@@ -16,6 +16,7 @@ from loomline.functions import text as X
 from loomline.operators import content, eda, parse, profile, sample, threads
 from loomline.plans.fixtures import EMAILS_SQL as E
 from loomline.plans.fixtures import emails, multipart, table
+from loomline.sources.tables import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -291,13 +292,13 @@ def thread_nodes(spark, sf_dir):
 
 @query(f"SELECT 'c' || a.conv_id || '.' || b.turn || '@ex.com' AS src, 'c' || a.conv_id || '.' || a.turn || '@ex.com' AS dst, 'reference' AS relationship FROM {E} a JOIN {E} b ON a.conv_id = b.conv_id AND b.turn < a.turn")
 def thread_edges(spark, sf_dir):
-    records = _records(spark, sf_dir, refs=True)
+    records = written(_records(spark, sf_dir, refs=True), "records")
     return threads.edges(records, threads.nodes(records))
 
 
 @query(f"SELECT 'c' || conv_id || '.0@ex.com' AS message_id, seq AS first_seq FROM {E} WHERE turn = 0")
 def thread_roots(spark, sf_dir):
-    records = _records(spark, sf_dir)
+    records = written(_records(spark, sf_dir), "records")
     nodes = threads.nodes(records)
     return threads.roots(nodes, threads.edges(records, nodes))
 
@@ -337,7 +338,7 @@ def thread_quality_metrics(spark, sf_dir):
 
 @query("SELECT count(*) AS input_emails, count(DISTINCT conv_id) AS output_threads, round(count(*) / count(DISTINCT conv_id), 6) AS threading_efficiency, count(*) AS distinct_messages_threaded, 0::BIGINT AS dropped_messages FROM conversations")
 def thread_report(spark, sf_dir):
-    records = _records(spark, sf_dir)
+    records = written(_records(spark, sf_dir), "records")
     return threads.summary(threads.threads(records), records)
 
 
@@ -414,7 +415,7 @@ _HAS_BODY = f"{_ORIGINAL} || quote <> ''"
 
 @query(f"SELECT count(*) AS total_input, count(*) FILTER (WHERE {_HAS_BODY}) AS successfully_processed, count(*) FILTER (WHERE NOT ({_HAS_BODY})) AS failed_processing, round(count(*) FILTER (WHERE {_HAS_BODY}) / count(*), 6) AS success_rate, count(*) FILTER (WHERE turn > 0) AS quotes_detected, 0::BIGINT AS html_emails FROM {E}")
 def content_stats(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir)
+    parsed = written(_parsed(spark, sf_dir), "parsed")
     return content.report(content.process(parsed), parsed)
 
 

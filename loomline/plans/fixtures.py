@@ -52,6 +52,8 @@ def emails(spark: SparkSession, sf_dir: str, refs: bool = False, bad_every: int
     """
     c = message_columns()
     rows = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
+    # the number is given so that small inputs still use every core for parsing; the window reuses the exchange
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id")
     rows = rows.withColumn("prior", F.expr(_PRIOR)).withColumn("prior", F.expr(_FIRST_LINE.format("prior")))
     ids = F.array_join(F.transform(F.sequence(F.lit(0), F.col("turn").cast("int") - 1), lambda t: F.concat(F.lit("<c"), F.col("conv_id").cast("string"), F.lit("."), t.cast("string"), F.lit("@ex.com>"))), " ")
     rows = rows.withColumn("refs", F.when(F.col("turn") > 0, F.concat(F.lit("References: "), ids, F.lit("\n"))).otherwise(F.lit("")) if refs else F.lit(""))
@@ -74,7 +76,7 @@ _BOUNDARY = "frontier-0451"
 
 def multipart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, seq, filename, raw_text: each page as an HTML part, a plain part in base64 and an attachment."""
-    pages = table(spark, sf_dir, "pages").where("html is not null")
+    pages = table(spark, sf_dir, "pages").where("html is not null").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     plain = F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" at "), F.coalesce("url", F.lit("")))
     part = lambda kind, more, body: [F.lit(f"--{_BOUNDARY}\nContent-Type: {kind}; charset=\"utf-8\"\n{more}\n"), body, F.lit("\n")]
     raw = F.concat(

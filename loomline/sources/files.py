@@ -66,7 +66,9 @@ def load_messages(spark: SparkSession, path: str) -> DataFrame:
     """Raw messages as filename, raw_text, id (scan position) and seq."""
     df = read_csv(spark, path)
     require_columns(df, "file", "message")
-    return with_seq(df.withColumnsRenamed({"file": "filename", "message": "raw_text"})).withColumn("id", F.col("seq").cast("string"))
+    # a multi-line CSV is one task a file, so rows are dealt out before they are parsed
+    rows = with_seq(df.withColumnsRenamed({"file": "filename", "message": "raw_text"})).withColumn("id", F.col("seq").cast("string"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = PARSED) -> DataFrame:
