@@ -4,7 +4,7 @@ A file holds the ids of a range of documents in ascending doc_id order:
 
 - data frames, each an independent zstandard frame of little-endian unsigned ids of whole
   or partial documents, FRAME_IDS ids at most;
-- a skippable frame (magic 0x184D2A50) with the documents: count, doc_ids, validity, ids per document;
+- a skippable frame (magic 0x184D2A50) with the documents: count, doc_ids, validity, ids per document, and its length;
 - a skippable frame (magic 0x184D2A5E), the seek table of the public seekable format: for each data
   frame its compressed size, its size and the low 32 bits of the XXH64 of its content, then the
   number of frames, the descriptor byte and the closing magic 0x8F92EAB1.
@@ -172,10 +172,10 @@ class SeekableWriter:
             self._frame(b"".join(self.held))
         index = struct.pack("<QB", len(self.ids), self.dtype.itemsize) + np.array(self.ids, "<i8").tobytes() + np.array(self.valid, np.uint8).tobytes() + np.array(self.counts, "<i8").tobytes()
         packed = self.codec.compress(index)
-        self.out.write(struct.pack("<II", _SKIP, len(packed)) + packed)
+        # its own length closes the frame, so that a reader finds its begin from the seek table
+        self.out.write(struct.pack("<II", _SKIP, len(packed) + 4) + packed + struct.pack("<I", len(packed)))
         table = b"".join(struct.pack("<III", *x) for x in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _TAIL)
         self.out.write(struct.pack("<II", _SEEK, len(table)) + table)
-        self.out.write(struct.pack("<I", len(packed)))  # a reader's way to the document table
         self.out.close()
         self.fs.move(self.part, self.path)
         return sum(self.counts)
@@ -188,18 +188,19 @@ class SeekableReader:
         self.fs, path = filesystem(uri)
         self.file = self.fs.open_input_file(path)
         size = self.file.size()
-        tail = self.file.read_at(13, size - 13)
-        n_frames, descriptor, magic, n_index = struct.unpack("<IBII", tail)
+        n_frames, descriptor, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != _TAIL or descriptor != 0x80:
             raise ValueError(f"{uri} has no seek table")
         table_bytes = 12 * n_frames + 9
-        table = self.file.read_at(12 * n_frames, size - 4 - table_bytes)
+        table = self.file.read_at(12 * n_frames, size - table_bytes)
         sizes = np.frombuffer(table, "<u4").reshape(-1, 3).astype(np.int64)
         self.sums = sizes[:, 2]
         self.at = np.concatenate([[0], np.cumsum(sizes[:, 0])])
         self.begin = np.concatenate([[0], np.cumsum(sizes[:, 1])])
         self.codec = zstandard.ZstdDecompressor()
-        index = self.codec.decompress(self.file.read_at(n_index, size - 4 - table_bytes - 8 - n_index))
+        end = size - table_bytes - 8
+        n_index = struct.unpack("<I", self.file.read_at(4, end - 4))[0]
+        index = self.codec.decompress(self.file.read_at(n_index, end - 4 - n_index))
         n, itemsize = struct.unpack_from("<QB", index)
         self.dtype = np.dtype("<u2") if itemsize == 2 else np.dtype("<u4")
         self.ids = np.frombuffer(index, "<i8", n, 9)
