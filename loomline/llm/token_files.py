@@ -57,6 +57,8 @@ _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Latin letters of one lower-case character each, without the two signs among them.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
 _CUT_WORDS = rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+"
+#: What a text that is lower-cased may have beyond ASCII: characters whose lower case the cut knows as well.
+_LOWERED = "".join(c for c in map(chr, (*range(0xC0, 0x130), *range(0x131, 0x250))) if re.fullmatch(f"[{_LETTERS}\u00d7\u00f7]", c.lower()))
 _CUT_SPACED = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 
 
@@ -90,7 +92,7 @@ class PieceEncoder:
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.simple = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*")
+        self.simple = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*" if keep_space else f"[\t\n\r -~{_LOWERED}]*")
         self.cut = re.compile(_CUT_SPACED if keep_space else _CUT_WORDS).findall
         self.general = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+").findall
         self.symbols = byte_symbols()

@@ -33,6 +33,14 @@ def test_any_text_counts_and_encodes_as_the_library(text):
     assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == BYTES.encode(text, add_special_tokens=False).ids
 
 
+def test_every_simple_character_between_letters_encodes_as_the_library():
+    for name, keep_space, library in (("word_bpe_49k.json", False, WORDS), ("byte_bpe_50k.json", True, BYTES)):
+        enc = token_files.encoder(token_count.tokenizer_path(name), keep_space)
+        for c in map(chr, (9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x250))):
+            for text in (f"a{c}b", f"{c}li {c}", f"Word {c}{c}auna"):
+                assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_counts(odd, docs, texts):
     for df, rows in ((odd, [(r[0], r[1]) for r in ODD]), (docs, list(texts.items()))):
         got = sorted(map(tuple, token_count.token_counts(df).collect()), key=str)
