@@ -3,13 +3,16 @@
 Every source gets a target number of words. A source's documents are dealt into shards by hash
 (about DOCS_PER_SHARD each); in a shard they are laid end to end in seeded order and cut into blocks
 of equal words. In each shard the seats, as many blocks as the shard's part of the targets makes, go to
-its sources by the highest quotients weight / (2 k + 1), at most two seats a block. The integer
-quota then selects blocks by a seeded permutation: all blocks as often as it covers them whole, then
+its sources by the highest quotients weight / (2 k + 1), at most two seats a block. A source's weight is its
+blocks there times target / size, so a part-filled last block counts by the words of the shard's mean
+block, plus what rounding left of its weights in the shards before; over all shards a source's seats are
+thus within one of its weight. The integer quota then selects blocks by a seeded permutation: all blocks as often as it covers them whole, then
 the first ones of the permutation. A document takes the words it has in selected blocks.
 
 Scale: one pass sums sizes by source (the driver sees one row a source), one shuffle deals compact
 rows to shards of bounded size, so a hot source is many small groups; quotas of a shard are
-computed apart from all others.
+computed apart from all others, as what is left before it is known from a running sum over one row a
+shard and source.
 
 Defined results: a null text has size 0 and takes nothing; the null source is a source of its
 own, last in order; a source without words has target 0; rows that repeat are rows of their own;
@@ -25,7 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import WORD, column_of, n_words_col, ship
@@ -90,11 +93,15 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
 
 
 def _quotas(rows: pa.Table) -> pa.Table:
-    """Rows (shard, source_no, words, weight) of one shard with the source's quota of blocks."""
+    """Rows (shard, source_no, blocks, before, ratio, block) of one shard with the source's quota of blocks.
+
+    before: the source's blocks in the shards before this one; ratio: seats a block.
+    """
     rows = rows.sort_by("source_no")
-    words, block, weight = (column_of(rows, c).to_numpy() for c in ("words", "block", "weight"))
-    most = 2 * -(-words // block)
-    quota = sainte_lague(weight, int(round(float(weight.sum()))), most)
+    blocks, before, ratio, block = (column_of(rows, c).to_numpy() for c in ("blocks", "before", "ratio", "block"))
+    # the shards before have got the nearest whole number of seats, as the quotients of 1/2 and more are the highest ones
+    weight = np.maximum(ratio * (before + blocks) - np.floor(ratio * before + 0.5), 0)
+    quota = sainte_lague(weight, int(np.floor(weight + 0.5).sum()), 2 * blocks)
     return pa.table({"shard": column_of(rows, "shard"), "source_no": column_of(rows, "source_no"), "quota": quota, "block": block})
 
 
@@ -141,8 +148,15 @@ def _plan(docs: DataFrame, weights, share, most, seed) -> tuple[DataFrame, DataF
         .drop("_mix_source", "_mix_name", "_mix_shards")
     )
     held = dealt.groupBy("_mix_shard", "_mix_no").agg(F.sum("_mix_size").alias("words"), F.first("_mix_target").alias("target"), F.first("_mix_total").alias("total"))
+    blocks = F.ceil(F.col("words") / block).cast("long")
+    before = Window.partitionBy("_mix_no").orderBy("_mix_shard").rowsBetween(Window.unboundedPreceding, -1)
     parts = held.where("total > 0").select(
-        F.col("_mix_shard").alias("shard"), F.col("_mix_no").alias("source_no"), "words", F.lit(block).cast("long").alias("block"), (F.col("target") * F.col("words") / F.col("total") / block).alias("weight")
+        F.col("_mix_shard").alias("shard"),
+        F.col("_mix_no").alias("source_no"),
+        blocks.alias("blocks"),
+        F.coalesce(F.sum(blocks).over(before), F.lit(0)).cast("long").alias("before"),
+        (F.col("target") / F.col("total")).alias("ratio"),
+        F.lit(block).cast("long").alias("block"),
     )
     quotas = parts.groupBy("shard").applyInArrow(_quotas, "shard int, source_no int, quota long, block long")
     return dealt, quotas

@@ -47,6 +47,16 @@ def test_mix(spark, docs, texts):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_large_sources_of_short_and_empty_texts_get_their_targets(spark):
+    n = 60_000
+    short = spark.range(n).selectExpr("id AS doc_id", "'word' AS text", "'a' AS source")
+    empty = spark.range(n, 2 * n).selectExpr("id AS doc_id", "if(id % 10 = 0, 'word', if(id % 2 = 0, '', null)) AS text", "'b' AS source")
+    got = mixing.mix(short.unionByName(empty), weights=(10, 1), share=1.4).selectExpr("doc_id < 60000 AS a", "taken", "target").groupBy("a").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(got) == 2
+    for r in got:
+        assert abs(r["sum(taken)"] / r["max(target)"] - 1) < 0.01, r
+
+
 def test_mixed_rows_hold_what_was_taken(docs):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
     out = mixing.mixed(docs)
