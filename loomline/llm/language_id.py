@@ -8,11 +8,12 @@ windows of a whole text are read: responses are sums of table rows looked up by
 a text's score is the softmax of its windows' mean log-probabilities, weighted by length.
 
 Learning sees text and lang alone, of documents with a lang and crc32(doc_id as text) mod 4 other
-than 2, of which a bounded sample is taken: SAMPLE_DOCS documents by hash of doc_id, their first
-SAMPLE_CHARS characters. Predictions see the text alone.
+than 2, of which a bounded sample is taken: SAMPLE_DOCS documents by hash of doc_id, in even parts of
+the languages (what one lacks goes to the others, and each has LEAST_DOCS if so many are labelled),
+their first SAMPLE_CHARS characters. Predictions see the text alone.
 
-Scale: the sample is found by a filter on the hash (bounded rows to the driver whatever the number of
-partitions), weights are 75 KB, and prediction is a map over the scan with bounded chunks.
+Scale: documents to learn from are counted by language, and the sample is found by a filter on the hash
+(bounded rows of each language to the driver whatever the number of partitions), weights are 75 KB, and prediction is a map over the scan with bounded chunks.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0, as does
 every text if nothing is labelled; a row without doc_id is not held out and not learned from; rows that
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import column_of, ship, text_slices
@@ -36,6 +37,8 @@ FILTERS = 8
 WINDOW = 256
 SAMPLE_DOCS = 2_000
 SAMPLE_CHARS = 1_000
+#: Documents of each language at least, where so many can be learned from.
+LEAST_DOCS = 20
 EPOCHS = 6
 SEED = 5
 _CHUNK = 1 << 18
@@ -203,16 +206,29 @@ def predict_batches(batches: Iterator[pa.RecordBatch], net: ByteNet | None) -> I
         yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), column_of(batch, "held_out"), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
 
+def quotas(counts: dict[str, int], size: int, least: int = LEAST_DOCS) -> dict[str, int]:
+    """Documents of each language: even parts of size, what a language lacks going to the others; least each, where it has them."""
+    out, left = {}, size
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(least, left // (len(counts) - k)))
+        left = max(0, left - out[lang])
+    return out
+
+
 def sample(docs: DataFrame, size: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of at most size labelled documents outside the held-out part."""
-    n = docs.count()
-    if not n:
+    """(text, lang) of about size labelled documents outside the held-out part, more only where languages are so many."""
+    doc_id, text, lang = (F.col(c).cast("string") for c in ("doc_id", "text", "lang"))
+    rows = docs.where((F.pmod(F.crc32(doc_id), F.lit(4)) != 2) & lang.isNotNull() & (text != ""))
+    counts = {r[0]: r[1] for r in rows.groupBy(lang.alias("lang")).count().collect()}
+    if not counts:
         return []
-    key = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)), F.lit(1 << 40))
-    cut = int(min(1.0, 4.0 * size / n) * (1 << 40))
-    rows = docs.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (key < cut))
-    chosen = rows.select(key.alias("k"), F.substring(F.col("text").cast("string"), 1, chars).alias("t"), F.col("lang").cast("string").alias("lang")).orderBy("k", "t", "lang").limit(size)
-    return [(r["t"], r["lang"]) for r in chosen.collect()]
+    cuts = [(k, q, int(min(1.0, 4.0 * q / counts[k]) * (1 << 40))) for k, q in quotas(counts, size).items()]
+    table = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, quota long, cut long"))
+    key = F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 40))
+    drawn = rows.select(key.alias("k"), F.substring(text, 1, chars).alias("t"), lang.alias("lang")).join(table, "lang").where("k < cut")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "t"))
+    chosen = drawn.withColumn("place", place).where("place <= quota").select("k", "t", "lang")
+    return [(r["t"], r["lang"]) for r in sorted(chosen.collect())]
 
 
 def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:

@@ -114,3 +114,13 @@ def test_prediction_of_a_text_does_not_depend_on_its_batch(docs):
     alone = {r.doc_id: r.score for r in language_id.identify(docs.where("doc_id < 40").repartition(13), net).collect()}
     both = {r.doc_id: r.score for r in language_id.identify(docs.coalesce(1), net).collect()}
     assert all(abs(both[k] - v) < 1e-5 for k, v in alone.items())
+
+
+def test_few_labels_among_many_rows_are_all_found(spark):
+    few = "case when id % 1000 = 1 then 'en' when id in (2002, 4004, 6006, 8008) then 'fr' end"
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "concat('text ', id) AS text", f"{few} AS lang")
+    eligible = [i for i in range(200_000) if zlib.crc32(str(i).encode()) % 4 != 2 and (i % 1000 == 1 or i in (2002, 4004, 6006, 8008))]
+    got = language_id.sample(docs)
+    assert sorted(t for t, _ in got) == sorted(f"text {i}" for i in eligible)
+    assert len(language_id.sample(docs, 40)) < len(eligible) and {lang for _, lang in language_id.sample(docs, 40)} == {"en", "fr"}
+    assert language_id.quotas({"a": 5, "b": 10_000, "c": 10_000}, 2000) == {"a": 5, "b": 997, "c": 998}
