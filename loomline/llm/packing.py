@@ -3,15 +3,16 @@
 Documents are dealt by hash into buckets of about BUCKET_BYTES of text. In a bucket each source's
 documents form a queue of ids; windows of 2048 are filled by deficit round-robin: every window gives
 each source with ids left its share of the window as credit, and the source with the most credit
-is served first, at least LEAST ids at a time. Credit is carried from window to window; a bucket starts with
-the credit that the buckets before it leave, known from the bytes of each source in them. Documents are
-cut freely, so all windows but a bucket's last are full; the last is split into sequences of
+is served first, at least LEAST ids at a time. Shares are the sources' true parts of all ids, or those given;
+a source that a given share asks more of than it has ends early, as every id is packed once. Credit is
+carried from window to window; a bucket starts with the credit that the buckets before it leave, known
+from the ids of each source in them. Documents are cut freely, so all windows but a bucket's last are full; the last is split into sequences of
 powers of two, which need no padding.
 
 Encoding uses the tokenizers library (see token_files.PieceEncoder), each document once.
 
-Scale: two scans count bytes, one shuffle deals texts to buckets; a bucket is all that a task
-holds, and sources of any size spread evenly over buckets, as a document's bucket doesn't depend on its
+Scale: a scan counts bytes, the next encodes into a table of ids, whose counts give shares and credit,
+and one shuffle deals ids to buckets; a bucket is all that a task holds, and sources of any size spread evenly over buckets, as a document's bucket doesn't depend on its
 source. The carried credit is a running sum over one row a bucket and source.
 
 Defined results: null text counts as empty and gives the end id alone; null source is a source;
@@ -22,13 +23,14 @@ empty table; only doc_id, text and source are read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import column_of, ship
+from loomline.llm.common import column_of, ship, written
 from loomline.llm.token_count import tokenizer_path
 from loomline.llm.token_files import encoder
 
@@ -68,26 +70,31 @@ def sequence_lengths(total: int, length: int = LENGTH) -> list[int]:
     return out + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def pack_bucket(docs: pa.Table, credits: pa.Table, path: str, end_id: int) -> pa.Table:
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, source, bucket) with ids and their number in place of the text."""
     enc = encoder(path, keep_space=True)
+    end = np.array([end_id], enc.dtype).tobytes()
+    for batch in batches:
+        ids = [enc.encode(text.as_py()) + end for text in column_of(batch, "text")]
+        n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("doc_id", "source", "bucket")), pa.array(ids, pa.binary()), n], ["doc_id", "source", "bucket", "ids", "n"])
+
+
+def pack_bucket(docs: pa.Table, credits: pa.Table, path: str, targets: dict[str | None, float] | None = None) -> pa.Table:
     if not len(docs):
         return _SCHEMA.empty_table()
-    docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    end = np.array([end_id], enc.dtype).tobytes()
+    dtype = encoder(path, keep_space=True).dtype
+    docs = docs.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
     names = column_of(docs, "source").to_pylist()
     order = {s: i for i, s in enumerate(sorted(set(names), key=lambda s: (s is None, s or "")))}
     share, credit = np.zeros(len(order)), np.zeros(len(order))
     queues: list[list[tuple[int | None, np.ndarray]]] = [[] for _ in order]
-    n_bytes = 0
-    for doc_id, text, s in zip(column_of(docs, "doc_id"), column_of(docs, "text"), names, strict=True):
-        text = text.as_py() or ""
-        n_bytes += len(text)
-        queues[order[s]].append((doc_id.as_py(), np.frombuffer(enc.encode(text) + end, enc.dtype).astype("<u4")))
+    for doc_id, ids, s in zip(column_of(docs, "doc_id"), column_of(docs, "ids"), names, strict=True):
+        queues[order[s]].append((doc_id.as_py(), np.frombuffer(ids.as_py(), dtype).astype("<u4")))
     queued = np.array([sum(len(x) for _, x in q) for q in queues], np.int64)
-    ids_a_byte = queued.sum() / max(1, n_bytes)
     for s, a, b in zip(*(column_of(credits, c).to_pylist() for c in ("source", "share", "credit")), strict=True):
         if s in order:
-            share[order[s]], credit[order[s]] = a, b * ids_a_byte
+            share[order[s]], credit[order[s]] = a if targets is None else targets.get(s, 0.0), b
     bucket = column_of(docs, "bucket")[0].as_py()
     lengths = sequence_lengths(int(queued.sum()))
     out: list[tuple] = []
@@ -109,21 +116,23 @@ def pack_bucket(docs: pa.Table, credits: pa.Table, path: str, end_id: int) -> pa
     return pa.Table.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)], schema=_SCHEMA)
 
 
-def pack(docs: DataFrame, path: str | None = None, name: str = "byte_bpe_50k.json", end_id: int = END_ID) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str | None = None, name: str = "byte_bpe_50k.json", end_id: int = END_ID, targets: dict[str | None, float] | None = None) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. targets: weights of the sources, their ids by default."""
     ship(docs.sparkSession)
     path = path or tokenizer_path(name)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("source").cast("string").alias("source"))
     size = F.octet_length("text") + 1
-    total = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    n_bytes = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
+    buckets = max(1, -(-n_bytes // BUCKET_BYTES))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(3)), F.lit(buckets)).cast("int"))
-    held = rows.groupBy("bucket", "source").agg(F.sum(size.cast("long")).alias("n"))
+    coded = written(rows.mapInArrow(lambda it: encode_batches(it, path, end_id), "doc_id long, source string, bucket int, ids binary, n long"), "ids")
+    held = coded.groupBy("bucket", "source").agg(F.sum("n").alias("n"))
+    total = held.agg(F.sum("n")).first()[0] or 0
     by_source = Window.partitionBy("source")
     before = by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     share = F.sum("n").over(by_source) / F.lit(float(max(total, 1)))
     credits = held.select("bucket", "source", share.alias("share"), (share * total * F.col("bucket") / buckets - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("credit"))
-    return rows.groupBy("bucket").cogroup(credits.groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, path, end_id), ", ".join(f"{c} long" for c in _SCHEMA.names))
+    return coded.drop("n").groupBy("bucket").cogroup(credits.groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, path, targets), ", ".join(f"{c} long" for c in _SCHEMA.names))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

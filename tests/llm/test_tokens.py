@@ -137,6 +137,20 @@ def test_packing(odd, docs, texts):
     assert sum(sum(p.length for p in s) == 2048 for s in by.values()) > 0.98 * len(by)
 
 
+def test_windows_follow_token_shares_or_given_ones(spark):
+    """Sources of as many bytes but unlike tokens a byte."""
+    plain, odd_ = "the city of the people and the old letters " * 40, "żółć ğış ŧŋđ ħłĸ " * 67
+    rows = [(i, plain, "a") for i in range(150)] + [(1000 + i, odd_, "b") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n = {s: len(BYTES.encode(t, add_special_tokens=False).ids) + 1 for t, s in ((plain, "a"), (odd_, "b"))}
+    assert n["b"] > 1.5 * n["a"]
+    for targets, want in ((None, n["a"] / (n["a"] + n["b"])), ({"a": 1.0, "b": 9.0}, 0.1)):
+        by = check_pieces([r[:2] for r in rows], packing.pack(df, targets=targets).collect())
+        part = [sum(p.length for p in by[k] if p.doc_id < 1000) / 2048 for k in sorted(by) if sum(p.length for p in by[k]) == 2048]
+        until = len(part) - 2 if targets is None else len(part) // 2
+        assert all(abs(sum(part[:k]) - want * k) * 2048 <= 2 * packing.LEAST + 2 for k in range(1, until)), (targets, part)
+
+
 def test_windows_follow_the_shares():
     queued = np.array([60_000, 30_000, 10_000])
     share = queued / queued.sum()
