@@ -20,22 +20,52 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where none is set."""
+    """spark.checkpoint.dir of the session; one of our own only on a local master, where all run on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file:///tmp/checkpoints/loomline"
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete what is at path when the driver ends."""
+    fs, p = _hadoop(spark, path)
+    fs.deleteOnExit(p)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table that survives lost executors and cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/loomline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: it survives lost executors and cuts the lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    delete_at_exit(df.sparkSession, path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loomline_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later result reads."""
+    for table in tables:
+        if path := getattr(table, "_loomline_path", None):
+            fs, p = _hadoop(table.sparkSession, path)
+            fs.delete(p, True)
 
 
 def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
@@ -52,11 +82,18 @@ def ranked(df: DataFrame, name: str, *order: str) -> DataFrame:
     return dealt.withColumn("_here", here).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + F.col("_here")).cast("long")).drop("_range", "_here", "_before")
 
 
-def sum_before(df: DataFrame, key: str, value: str, name: str, block: int = 4096) -> DataFrame:
-    """df (one row a key, a number from 0) with the sum of value over all smaller keys, as name: within blocks, and over the blocks' sums."""
+def sum_before(df: DataFrame, key: str, value: str, name: str, block: int = 4096, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with the sum of value over all smaller keys (numbers from 0, one row each, apart for each value of by), as name.
+
+    Sums are taken within blocks of keys and over the blocks' sums, so no task sees more than a
+    block, or one row a block.
+    """
     rows = df.withColumn("_block", F.floor(F.col(key) / block).cast("long"))
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = rows.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    sums = sums.select("_block", before(Window.orderBy("_block"), "_sum").alias("_blocks"))
-    inner = rows.withColumn("_inner", before(Window.partitionBy("_block").orderBy(key), value))
-    return inner.join(sums, "_block").withColumn(name, F.col("_blocks") + F.col("_inner")).drop("_block", "_blocks", "_inner")
+    sums = rows.groupBy(*by, "_block").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in by], F.col("_block").alias("_at"), before((Window.partitionBy(*by) if by else Window).orderBy("_block"), "_sum").alias("_blocks"))
+    inner = rows.withColumn("_inner", before(Window.partitionBy(*by, "_block").orderBy(key), value))
+    same = F.col("_block") == F.col("_at")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return inner.join(sums, same).withColumn(name, F.col("_blocks") + F.col("_inner")).drop("_block", "_blocks", "_inner", "_at", *[f"_of_{c}" for c in by])
