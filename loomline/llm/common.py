@@ -3,70 +3,65 @@
 from __future__ import annotations
 
 import gc
-import os
-import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from loomline.sources.tables import delete_at_exit, discard, shared_path, ship, sum_before, written
+
+__all__ = ["column_of", "delete_at_exit", "discard", "n_words_col", "numbered", "release", "shared_path", "ship", "sum_before", "text_slices", "unused", "without", "words_col", "written"]
+
 #: The white space of every contract here.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package by the path the driver has it at."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else None
-    if not path:
-        path = "file:///tmp/checkpoints/loomline"
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+#: Slots of the filter that keeps rows which surely stay out of a join, so its size is bounded.
+SLOTS = 1 << 18
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomline-{name}-{uuid.uuid4().hex}"
+def unused(docs: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it survives lost executors and cuts the lineage."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._loomline_path = path
-    return out
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """(docs, row): docs with a column row that is unique and never null.
 
+    doc_id itself serves where it tells the rows apart; else docs is written with a number for each row,
+    as a second scan may number rows otherwise.
+    """
+    row, id_ = unused(docs, "_row"), F.col("doc_id").cast("long")
+    if docs.groupBy(id_.alias("id")).count().where("count > 1 or id is null").isEmpty():
+        return docs.withColumn(row, id_), row
+    return written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no later result reads."""
-    for table in tables:
-        path = getattr(table, "_loomline_path", None)
-        if path:
-            spark = table.sparkSession
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+def without(docs: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The rows of docs (row is unique) that dropped (one column) doesn't name, without that column.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    A filter of SLOTS slots, so of bounded size, passes most rows that stay as they are scanned; only
+    the others are joined, each once.
+    """
+    at, gone_ = unused(docs, "_slot"), unused(docs, "_gone")
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(SLOTS)).cast("int")
+    gone = dropped.toDF(gone_)
+    slots = F.broadcast(gone.select(slot(gone_).alias(at)).distinct())
+    hit = slot(row) == F.col(at)
+    maybe = docs.join(slots, hit, "left_semi").join(gone, F.col(row) == F.col(gone_), "left_anti")
+    return docs.join(slots, hit, "left_anti").unionByName(maybe).drop(row)
 
 
 def words_col(text):
