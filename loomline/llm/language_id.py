@@ -9,14 +9,14 @@ a text's score is the softmax of its windows' mean log-probabilities, weighted b
 
 Learning sees text and lang alone, of documents with a lang and crc32(doc_id as text) mod 4 other
 than 2, of which a bounded sample is taken: SAMPLE_DOCS documents by hash of doc_id, in even parts of
-the languages (what one lacks goes to the others, and each has LEAST_DOCS if so many are labelled),
-their first SAMPLE_CHARS characters. Predictions see the text alone.
+the languages (what one lacks goes to the others, and each has LEAST_DOCS if so many are labelled).
+A document gives up to SAMPLE_WINDOWS windows at even places of its whole text. Predictions see the text alone.
 
 Scale: documents to learn from are counted by language, and the sample is found by a filter on the hash
 (bounded rows of each language to the driver whatever the number of partitions), weights are 75 KB, and prediction is a map over the scan with bounded chunks.
 
 Defined results: a text that is null or has no letter gives ``und`` with score 0, as does
-every text if nothing is labelled; a row without doc_id is not held out and not learned from; rows that
+every text if no document that may be learned from is labelled; a row without doc_id is not held out and not learned from; rows that
 repeat are predicted each; an empty table gives an empty table. Clashing extra columns are not read.
 """
 
@@ -36,7 +36,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 WINDOW = 256
 SAMPLE_DOCS = 2_000
-SAMPLE_CHARS = 1_000
+#: Windows of a document at most, of WINDOW characters each.
+SAMPLE_WINDOWS = 4
 #: Documents of each language at least, where so many can be learned from.
 LEAST_DOCS = 20
 EPOCHS = 6
@@ -152,7 +153,7 @@ def _windows(text: str) -> list[np.ndarray]:
 
 
 def fit(rows: list[tuple[str, str]], seed: int = SEED) -> ByteNet | None:
-    """The network of (text, lang) rows; None where there is none."""
+    """The network of rows of a passage and its language; None where there is none."""
     rows = [(t, lang) for t, lang in rows if t and lang is not None]
     if not rows:
         return None
@@ -215,8 +216,14 @@ def quotas(counts: dict[str, int], size: int, least: int = LEAST_DOCS) -> dict[s
     return out
 
 
-def sample(docs: DataFrame, size: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(text, lang) of about size labelled documents outside the held-out part, more only where languages are so many."""
+def passages(text, most: int = SAMPLE_WINDOWS):
+    """Array of up to most passages of WINDOW characters, from the text's begin to its end at even places."""
+    last = F.greatest(F.length(text) - WINDOW, F.lit(0))
+    return F.array_distinct(F.array(*[F.substring(text, (F.floor(last * i / max(1, most - 1)) + 1).cast("int"), F.lit(WINDOW)) for i in range(most)]))
+
+
+def sample(docs: DataFrame, size: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
+    """(passage, lang) of about size labelled documents outside the held-out part, more only where languages are so many."""
     doc_id, text, lang = (F.col(c).cast("string") for c in ("doc_id", "text", "lang"))
     rows = docs.where((F.pmod(F.crc32(doc_id), F.lit(4)) != 2) & lang.isNotNull() & (text != ""))
     counts = {r[0]: r[1] for r in rows.groupBy(lang.alias("lang")).count().collect()}
@@ -225,10 +232,10 @@ def sample(docs: DataFrame, size: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS)
     cuts = [(k, q, int(min(1.0, 4.0 * q / counts[k]) * (1 << 40))) for k, q in quotas(counts, size).items()]
     table = F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, quota long, cut long"))
     key = F.pmod(F.xxhash64(doc_id, F.lit(11)), F.lit(1 << 40))
-    drawn = rows.select(key.alias("k"), F.substring(text, 1, chars).alias("t"), lang.alias("lang")).join(table, "lang").where("k < cut")
+    drawn = rows.select(key.alias("k"), passages(text).alias("t"), lang.alias("lang")).join(table, "lang").where("k < cut")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "t"))
     chosen = drawn.withColumn("place", place).where("place <= quota").select("k", "t", "lang")
-    return [(r["t"], r["lang"]) for r in sorted(chosen.collect())]
+    return [(t, lang) for _, held, lang in sorted(map(tuple, chosen.collect())) for t in held]
 
 
 def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
