@@ -8,10 +8,12 @@ digests of new rows to their bucket and compares all 32 bytes of the slot's dige
 that is not a member never matches. Members are repeats of the history's winner; nonmembers
 keep the winner of their own group.
 
-Scale: only digests are shuffled, never texts, and rows of one digest are combined before each
-shuffle, so a group that holds a third of all rows costs one row a task. A bucket's size is
-bounded by choosing the number of buckets from the number of digests. Only the join of winners
-to rows has hot keys; it is a plain equi-join, which adaptive execution splits.
+Scale: rows of one digest are combined before each shuffle, so a group that holds a third of all
+rows costs one row a task. A bucket holds about PER_BUCKET distinct digests, as the number of buckets
+follows from the number of rows. Winners of digests with many rows (HOT_PART of all, so at most so many
+digests) are broadcast, so that no key of the join of winners to rows is hot. Texts are hashed
+once. ``exact_dedup`` shuffles digests alone; ``keep_first`` also joins those rows whose number falls into a slot
+of a dropped one, in a filter of bounded size, and passes all others as they are scanned.
 
 Defined results: null text counts as empty; of equal texts the row with the smallest doc_id
 stays, null doc_ids come last, and of rows that also share the doc_id exactly one stays; an
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import SPACE, column_of, discard, ship, written
+from loomline.llm.common import SPACE, column_of, discard, numbered, ship, without, written
 
 DIGEST = 32
 #: Distinct digests a bucket holds about; it bounds the memory of one index build.
 PER_BUCKET = 5_000
+#: A digest with more than this part of all rows is hot.
+HOT_PART = 1_000
 _LEVELS = 64
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -158,11 +162,11 @@ def _lookup_bucket(new: pa.Table, index: pa.Table) -> pa.Table:
     return pa.table({"digest": column_of(new, "digest"), "keep_id": pa.array(keep_id, pa.int64()), "keep_row": keep_row, "n": n, "member": member})
 
 
-def digested(docs: DataFrame) -> DataFrame:
-    """Table of doc_id, row (unique) and digest of every row; written, as it is read more than once."""
-    sha = F.sha2(normalised(F.col("text")), 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(sha).alias("digest"))
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+def digested(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """Table of doc_id, row (unique; the column of that name, or a number) and digest of every row; written, as it is read more than once."""
+    sha = F.sha2(normalised(F.col("text").cast("string")), 256)
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(sha).alias("digest"), number.alias("row")), "digests")
 
 
 def _grouped(rows: DataFrame, buckets: int) -> DataFrame:
@@ -193,11 +197,10 @@ def lookup(new: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
 def dedup_rows(rows: DataFrame) -> DataFrame:
     """rows (doc_id, row, digest) with keep_id, group_size and kept.
 
-    The history is the lower half of the id range: what was there first. The rest is looked up.
+    The history is the half of the rows with the smaller doc_ids: what was there first. The rest is looked up.
     """
-    low, high, total = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    middle, total = rows.agg(F.percentile_approx("doc_id", 0.5, 10_000), F.count(F.lit(1))).first()
     buckets = max(1, -(-total // PER_BUCKET))
-    middle = None if low is None else (low + high) // 2
     old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
     index = written(build_index(rows.where(old), buckets), "index")
     looked = lookup(rows.where(~old), index, buckets)
@@ -211,7 +214,11 @@ def dedup_rows(rows: DataFrame) -> DataFrame:
     )
     winners = written(winners, "winners")
     discard(index)
-    return rows.join(winners, "digest").select("doc_id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    many = F.col("group_size") > max(1, total // HOT_PART)
+    hot = F.broadcast(winners.where(many))
+    few = rows.join(hot.select("digest"), "digest", "left_anti").join(winners.where(~many), "digest")
+    both = few.unionByName(rows.join(hot, "digest").select(*few.columns))
+    return both.select("doc_id", "row", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
@@ -223,12 +230,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     ship(docs.sparkSession)
-    rows = dedup_rows(digested(docs)).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("digest").alias("_keep_digest"))
-    kept = docs.withColumn("_keep_digest2", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    kept = kept.join(rows, kept["doc_id"].eqNullSafe(rows["_keep_id"]) & (kept["_keep_digest2"] == rows["_keep_digest"]), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept.drop("_keep_digest2")
-    return kept.dropDuplicates(["doc_id", "_keep_digest2"]).drop("_keep_digest2")
+    rows, row = numbered(docs)
+    return without(rows, row, written(dedup_rows(digested(rows, row)).where("not kept").select("row"), "dropped"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

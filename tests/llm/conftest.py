@@ -39,8 +39,9 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, ties and repeated rows, with extra columns whose names operators use."""
-    rows = [(*r, "x", 1, 2, "y") for r in ODD]
-    return spark.createDataFrame(rows, SCHEMA + ", kept string, size int, n int, digest string")
+    names = "kept size n digest row shard piece bucket ids credit h s v p d m slot word m_ _row _slot _gone _mix_size _mix_no _mix_key _keep_digest2 _one_id _one_row body".split()
+    rows = [(*r, *[f"{c}{i}" for c in names]) for i, r in enumerate(ODD)]
+    return spark.createDataFrame(rows, SCHEMA + "".join(f", {c} string" for c in names))
 
 
 @pytest.fixture(scope="session")

@@ -73,7 +73,27 @@ def test_exact_dedup_of_odd_rows(odd):
         assert r.group_size == len(ids)
         assert r.keep_id == min((x for x in ids if x is not None), default=None)
     assert sum(r.kept for r in rows) == len(groups)
-    assert exact_dedup.keep_first(odd).count() == len(groups)
+    kept = exact_dedup.keep_first(odd)
+    assert kept.columns == odd.columns
+    held = {tuple(r) for r in odd.collect()}
+    assert kept.count() == len(groups) and all(tuple(r) in held for r in kept.collect())
+
+
+def test_keep_first_keeps_the_row_that_the_groups_name(spark):
+    rows = [(7, "a b", "x"), (3, "a  b", "y"), (3, "a\tb", "z"), (None, "a b", "u"), (9, "c", "v"), (None, "d", "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep_digest2 string").repartition(3)
+    kept = sorted(map(str, exact_dedup.keep_first(docs).collect()))
+    assert len(kept) == 3 and "'c'" in str(kept) and "'d'" in str(kept) and "doc_id=3" in str(kept)
+    unique = spark.createDataFrame([(i, f"t{i % 300}", "x") for i in range(1, 2_000)], "doc_id long, text string, _row string")
+    assert sorted(r.doc_id for r in exact_dedup.keep_first(unique).collect()) == list(range(1, 301))
+
+
+def test_history_is_half_of_the_rows_whatever_their_ids(spark):
+    rows = exact_dedup.digested(spark.createDataFrame([(i if i < 999 else 10**15, f"t{i % 400}") for i in range(1000)], "doc_id long, text string"))
+    got = exact_dedup.dedup_rows(rows).collect()
+    assert len(got) == 1000 and sum(r.kept for r in got) == 400 and {r.group_size for r in got} == {2, 3}
+    hot = exact_dedup.dedup_rows(exact_dedup.digested(spark.createDataFrame([(i, "one" if i % 3 else f"t{i}") for i in range(3000)], "doc_id long, text string")))
+    assert hot.where("group_size = 2000 and keep_id = 1").count() == 2000 and hot.where("kept").count() == 1001
 
 
 def test_history_members_and_nonmembers(spark):
