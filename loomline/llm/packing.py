@@ -13,7 +13,7 @@ Encoding uses the tokenizers library (see token_files.PieceEncoder), each docume
 
 Scale: a scan counts bytes, the next encodes into a table of ids, whose counts give shares and credit,
 and one shuffle deals ids to buckets; a bucket is all that a task holds, and sources of any size spread evenly over buckets, as a document's bucket doesn't depend on its
-source. The carried credit is a running sum over one row a bucket and source.
+source. The carried credit is a blocked prefix sum over one row a bucket and source.
 
 Defined results: null text counts as empty and gives the end id alone; null source is a source;
 rows that share a doc_id are documents of their own (each starts at 0); an empty table gives an
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import column_of, ship, written
+from loomline.llm.common import column_of, ship, sum_before, written
 from loomline.llm.token_count import tokenizer_path
 from loomline.llm.token_files import encoder
 
@@ -124,14 +124,13 @@ def pack(docs: DataFrame, path: str | None = None, name: str = "byte_bpe_50k.jso
     size = F.octet_length("text") + 1
     n_bytes = rows.agg(F.sum(size.cast("long"))).first()[0] or 0
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit(3)), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(buckets)).cast("int"))
     coded = written(rows.mapInArrow(lambda it: encode_batches(it, path, end_id), "doc_id long, source string, bucket int, ids binary, n long"), "ids")
-    held = coded.groupBy("bucket", "source").agg(F.sum("n").alias("n"))
+    held = written(coded.groupBy("bucket", "source").agg(F.sum("n").alias("n")), "held")
+    parts = held.groupBy(F.col("source").alias("name")).agg(F.sum("n").alias("whole"))
     total = held.agg(F.sum("n")).first()[0] or 0
-    by_source = Window.partitionBy("source")
-    before = by_source.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    share = F.sum("n").over(by_source) / F.lit(float(max(total, 1)))
-    credits = held.select("bucket", "source", share.alias("share"), (share * total * F.col("bucket") / buckets - F.coalesce(F.sum("n").over(before), F.lit(0))).alias("credit"))
+    known = sum_before(held, "bucket", "n", "before", by=("source",)).join(parts, F.col("source").eqNullSafe(F.col("name")))
+    credits = known.select("bucket", "source", (F.col("whole") / float(max(total, 1))).alias("share"), (F.col("whole") * F.col("bucket") / float(buckets) - F.col("before")).alias("credit"))
     return coded.drop("n").groupBy("bucket").cogroup(credits.groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, path, targets), ", ".join(f"{c} long" for c in _SCHEMA.names))
 
 
