@@ -13,8 +13,9 @@ A reader loads the two tables from the file's end and decompresses only the fram
 requested document touches, checking each one's checksum.
 
 Scale: texts are range-partitioned by doc_id once and encoded where they are written, so a task
-holds one frame and one Arrow batch. A file is written under a task's own name and renamed
-when whole, so a retried task replaces it. The driver sees one manifest row a file.
+holds one frame and one Arrow batch; files grow beyond FILE_BYTES where there would be more than FILES of them. On file systems that rename, a file is written
+under a task's own name and renamed when whole; in an object store it appears under its name when its upload ends. Either
+way a retried task replaces it. Files' starts are prefix sums over the manifest, a table of one row a file.
 
 Encoding uses the tokenizers library; as no token of this vocabulary spans white space, a piece
 between white space is encoded once a worker and remembered, in a bounded table.
@@ -26,6 +27,7 @@ and gives an empty table. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import column_of, shared_path, ship
+from loomline.llm.common import column_of, delete_at_exit, shared_path, ship, sum_before, written
 from loomline.llm.token_count import WHITE, byte_symbols, tokenizer_path
 
 END_ID = 2
@@ -49,6 +51,8 @@ END_ID = 2
 FRAME_IDS = 131_072
 #: Bytes of text a file gets about.
 FILE_BYTES = 32 << 20
+#: Files at most.
+FILES = 50_000
 #: Pieces whose ids a worker remembers; later ones are encoded anew.
 REMEMBERED = 400_000
 _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -62,6 +66,20 @@ _LOWERED = "".join(c for c in map(chr, (*range(0xC0, 0x130), *range(0x131, 0x250
 _CUT_SPACED = rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
 
 
+# The normalizers and pre-tokenizers that the cuts stand for, as the files have them.
+_SPACED_RULES = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_WORD_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class _Pieces(dict):
     """Ids of pieces; a missing one is encoded, and kept while there is room."""
 
@@ -97,6 +115,11 @@ class PieceEncoder:
         self.general = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+").findall
         self.symbols = byte_symbols()
         self.keep_space = keep_space
+        spec = json.loads(self.tokenizer.to_str())
+        special = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.special = re.compile("|".join(special)).search if special else lambda _: None
+        # a file whose rules are others than those that the cuts stand for is left to the library alone
+        self.known_rules = all(spec[k] == v for k, v in (_SPACED_RULES if keep_space else _WORD_RULES).items())
         self.by_model, self.by_tokenizer = _Pieces(self._model), _Pieces(self._tokenizer)
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -110,7 +133,9 @@ class PieceEncoder:
         return self._packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if "<|" not in text and self.simple.fullmatch(text):  # special tokens are the tokenizer's to find
+        if not self.known_rules:
+            return self._tokenizer(text)
+        if not self.special(text) and self.simple.fullmatch(text):  # special tokens are the tokenizer's to find
             known, pieces = self.by_model, self.cut(text if self.keep_space else text.lower())
         else:
             known, pieces = self.by_tokenizer, self.general(text)
@@ -127,11 +152,21 @@ def encoder(path: str, keep_space: bool) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+#: Hadoop's names of schemes that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def known_uri(uri: str) -> str:
+    """uri with the scheme that pyarrow knows."""
+    scheme, colon, rest = uri.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if colon else uri
+
+
 def filesystem(uri: str):
     """pyarrow's file system and path of a URI or local path."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(known_uri(uri)) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
 class SeekableWriter:
@@ -140,7 +175,8 @@ class SeekableWriter:
     def __init__(self, uri: str, dtype: np.dtype, frame_ids: int = FRAME_IDS):
         self.fs, self.path = filesystem(uri)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
-        self.part = f"{self.path}.{uuid.uuid4().hex}.part"
+        # an object store shows a file when its upload ends, and has no rename
+        self.part = self.path if self.fs.type_name in ("s3", "gcs", "abfs") else f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.part)
         self.dtype, self.frame_bytes = dtype, frame_ids * dtype.itemsize
         self.codec = zstandard.ZstdCompressor(level=1, write_checksum=False)
@@ -179,7 +215,8 @@ class SeekableWriter:
         table = b"".join(struct.pack("<III", *x) for x in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, _TAIL)
         self.out.write(struct.pack("<II", _SEEK, len(table)) + table)
         self.out.close()
-        self.fs.move(self.part, self.path)
+        if self.part != self.path:
+            self.fs.move(self.part, self.path)
         return sum(self.counts)
 
 
@@ -259,19 +296,15 @@ def write_batches(batches: Iterator[pa.RecordBatch], folder: str, path: str, end
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/part-{part:06d}.zst"], "n_ids": [n]}, schema=pa.schema([("part", pa.int64()), ("file", pa.string()), ("n_ids", pa.int64())]))
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int]]:
-    """Write docs as token files into folder, a URI that all executors share; (file, ids before it, its ids) in order."""
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, name: str = "word_bpe_49k.json", end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write docs as token files into folder, a URI that all executors share; the manifest: file, part, start (ids before it), n_ids."""
     ship(docs.sparkSession)
     path = path or tokenizer_path(name)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id").sortWithinPartitions("doc_id")
-    found = dealt.mapInArrow(lambda it: write_batches(it, folder, path, end_id), "part long, file string, n_ids long").collect()
-    out, start = [], 0
-    for row in sorted(found):
-        out.append((row["file"], start, row["n_ids"]))
-        start += row["n_ids"]
-    return out
+    dealt = rows.repartitionByRange(min(FILES, max(1, -(-total // file_bytes))), "doc_id").sortWithinPartitions("doc_id")
+    found = written(dealt.mapInArrow(lambda it: write_batches(it, folder, path, end_id), "part long, file string, n_ids long"), "manifest")
+    return sum_before(found, "part", "n_ids", "start").select("file", "part", "start", "n_ids")
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,18 +325,18 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader.close()
 
 
-def read_tokens(spark: SparkSession, files: list[tuple[str, int, int]]) -> DataFrame:
-    """One row a document of the files: doc_id, start, n_tokens, ids_crc32."""
+def read_tokens(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """One row a document of the files of a manifest: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not files:
-        return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(f, s) for f, s, _ in files], "file string, start long").repartitionByRange(len(files), "start")
-    return listed.mapInArrow(read_batches, schema)
+    dealt = files.select("file", "start").repartitionByRange(max(1, files.count()), "start")
+    return dealt.mapInArrow(read_batches, schema)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), shared_path(spark, "tokens"))
+    folder = shared_path(spark, "tokens")
+    files = write_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder)
+    delete_at_exit(spark, folder)
     return read_tokens(spark, files)
 
 

@@ -67,7 +67,7 @@ def _check_files(rows, got):
 
 def test_files(spark, odd, docs, texts, tmp_path):
     files = token_files.write_tokens(odd, f"file://{tmp_path}/a", file_bytes=60_000)
-    assert len(files) > 1
+    assert files.count() > 1
     _check_files([(r[0], r[1]) for r in ODD], token_files.read_tokens(spark, files).collect())
     files = token_files.write_tokens(docs, f"file://{tmp_path}/b", file_bytes=1 << 20)
     _check_files(list(texts.items()), token_files.read_tokens(spark, files).collect())
@@ -101,7 +101,7 @@ def test_seeking_reads_few_frames_and_checks_them(tmp_path):
 
 def test_nothing(spark, empty, tmp_path):
     files = token_files.write_tokens(empty, f"file://{tmp_path}/c")
-    assert files == [] and token_files.read_tokens(spark, files).count() == 0
+    assert files.count() == 0 and token_files.read_tokens(spark, files).count() == 0
     assert token_count.token_counts(empty).count() == 0
     assert packing.pack(empty).count() == 0
 
@@ -167,3 +167,28 @@ def test_credit_is_carried():
     even = packing.fill(np.array([5000, 5000]), np.array([0.5, 0.5]), np.array([0.0, 1500.0]))
     assert sum(n for s, n in even[0] if s == 1) > sum(n for s, n in even[0] if s == 0) + 1000
     assert packing.sequence_lengths(5000) == [2048, 2048, 512, 256, 128, 8]
+
+
+def test_schemes_that_hadoop_and_pyarrow_name_otherwise():
+    assert token_files.known_uri("s3a://box/a/b") == "s3://box/a/b" and token_files.known_uri("gcs://box/a") == "gs://box/a"
+    assert token_files.known_uri("hdfs://host:1/a") == "hdfs://host:1/a" and token_files.known_uri("/tmp/s3a") == "/tmp/s3a"
+    assert token_files.filesystem("file:///tmp/a")[1] == "/tmp/a"
+
+
+def test_a_file_with_other_rules_is_left_to_the_library(tmp_path):
+    import json
+
+    with open(token_count.tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_files.encoder(token_count.tokenizer_path("byte_bpe_50k.json"), True).known_rules
+    assert token_files.encoder(token_count.tokenizer_path("word_bpe_49k.json"), False).known_rules
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50257, "content": "[[mark]]"})
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    from tokenizers import Tokenizer
+
+    library, enc = Tokenizer.from_file(path), token_files.PieceEncoder(path, True)
+    for text in ("Some words", " some [[mark]] words", "", "é 12"):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
