@@ -69,6 +69,34 @@ def test_random_spans_are_added(spark):
     assert sum(got[i] for i in range(40)) >= 30 and sum(got[100 + i] for i in range(40)) == 0
 
 
+def test_keys_after_names_in_quotes_and_in_urls_are_found(spark):
+    r = random.Random(11)
+    key = lambda n=44: "".join(r.choice(secrets.ALPHABETS[3][1]) for _ in range(n))
+    forms = ["sig={}", "key={}&x=1", "auth: '{}'", "https://host.org/files/{}/report", "https://host.org/a?sig={}", "<{}>", "id_{}", "{}=="]
+    rows, want = [], {}
+    for i in range(400):
+        k = key()
+        text = f"{PROSE} " + forms[i % len(forms)].format(k) + " and more"
+        rows.append((i, text))
+        want[i] = (text.index(k), text.index(k) + len(k))
+    ordinary = [(1000 + i, PROSE + f" https://host.org/{i}/the-annual-report-of-{2000 + i}-and-notes sum_of_all_items_in_list_{i}=row number") for i in range(400)]
+    got = {x.doc_id: x.spans for x in secrets.scan(spark.createDataFrame(rows + ordinary, "doc_id long, text string")).collect()}
+    held = {i: [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("random")] for i in got}
+    for k in range(len(forms)):
+        found = [any(a <= want[i][0] and want[i][1] <= b for a, b in held[i]) for i in range(k, 400, len(forms))]
+        assert sum(found) >= 0.8 * len(found), (forms[k], sum(found), len(found))
+    assert sum(map(len, (held[i] for i in held if i >= 1000))) == 0
+
+
+def test_no_candidate_leaves_the_family():
+    counter = "".join(f"{i:02d}Ab" for i in range(12))
+    found = secrets.battery(counter)
+    assert found is not None and found[1] > 0.1
+    assert secrets.battery("abcdefghijklmnopqrstuvwxyz0123456789")[1] > 0.01
+    assert secrets.parts("a/" + "b" * 20 + "/c-" + "d" * 25) == [(0, 50), (2, 22), (23, 50), (25, 50)]
+    assert abs(secrets.measured_repeat({ord("a"): 3, ord("b"): 1, 32: 99}) - 10 / 16) < 1e-9
+
+
 def test_thresholds_control_discoveries():
     low, high = secrets._bin(1e-10), secrets._bin(0.5)
     last = secrets.thresholds({(0, low): 5, (0, high): 95, (1, high): 50})
