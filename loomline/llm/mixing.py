@@ -2,22 +2,23 @@
 
 Every source gets a target number of words. A source's documents are dealt into shards by hash
 (about DOCS_PER_SHARD each); in a shard they are laid end to end in seeded order and cut into blocks
-of equal words. In each shard the seats, as many blocks as the shard's part of the targets makes, go to
-its sources by the highest quotients weight / (2 k + 1), at most two seats a block. A source's weight is its
+of equal words: BLOCK, or a smaller power of two for a source whose target is below 100 blocks, whatever
+the other sources' sizes are. In each shard the seats, as many blocks as the shard's part of the targets makes, go to
+its sources of the same block by the highest quotients weight / (2 k + 1), at most two seats a block. A source's weight is its
 blocks there times target / size, so a part-filled last block counts by the words of the shard's mean
 block, plus what rounding left of its weights in the shards before; over all shards a source's seats are
 thus within one of its weight. The integer quota then selects blocks by a seeded permutation: all blocks as often as it covers them whole, then
 the first ones of the permutation. A document takes the words it has in selected blocks.
 
-Scale: one pass sums sizes by source (the driver sees one row a source), one shuffle deals compact
-rows to shards of bounded size, so a hot source is many small groups; quotas of a shard are
-computed apart from all others, as what is left before it is known from a running sum over one row a
-shard and source.
+Scale: one pass over the texts counts words into a compact table (``mix``) or into sums by shard (``mixed``); the driver
+sees one row a source. One shuffle deals rows to shards of bounded size, so a hot source is many small
+groups; quotas of a shard are computed apart from all others, as what is left before it is known from
+blocked prefix sums over one row a shard and source.
 
 Defined results: a null text has size 0 and takes nothing; the null source is a source of its
-own, last in order; a source without words has target 0; rows that repeat are rows of their own;
-an empty table gives an empty table. Reruns agree whatever the partitioning. ``mixed`` carries all
-columns of its input and names its own so that they can't clash.
+own, last in order; a source without words has target 0; rows that repeat are rows of their own, and rows
+that share a doc_id are ordered by size and by a hash of the text; an empty table gives an empty table.
+Reruns agree whatever the partitioning. ``mixed`` carries all columns of its input in one struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -28,17 +29,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, column_of, n_words_col, ship
+from loomline.llm.common import WORD, column_of, n_words_col, ship, sum_before, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
 DOCS_PER_SHARD = 500
-#: Words in a block at most; blocks are smaller where a source's target is.
+#: Words in a block; a power of two below it where a source's target is under 100 blocks.
 BLOCK = 64
 #: Rows of the table of sources up to which it is broadcast.
 BROADCAST_ROWS = 10_000
@@ -93,7 +94,7 @@ def sainte_lague(weights: np.ndarray, seats: int, most: np.ndarray) -> np.ndarra
 
 
 def _quotas(rows: pa.Table) -> pa.Table:
-    """Rows (shard, source_no, blocks, before, ratio, block) of one shard with the source's quota of blocks.
+    """Rows (shard, source_no, blocks, before, ratio, block) of one shard and block with the source's quota of blocks.
 
     before: the source's blocks in the shards before this one; ratio: seats a block.
     """
@@ -105,9 +106,9 @@ def _quotas(rows: pa.Table) -> pa.Table:
     return pa.table({"shard": column_of(rows, "shard"), "source_no": column_of(rows, "source_no"), "quota": quota, "block": block})
 
 
-def _taken(order_key: np.ndarray, size: np.ndarray, quota: int, block: int, seed: list[int]):
+def _taken(order_key: np.ndarray, size: np.ndarray, tie: np.ndarray, quota: int, block: int, seed: list[int]):
     """(whole times, extra words, order, selected blocks, begin of each document) of the documents of one source in one shard."""
-    order = np.lexsort((size, order_key))
+    order = np.lexsort((tie, size, order_key))
     begin = np.empty(len(size), np.int64)
     ends = np.cumsum(size[order])
     begin[order] = ends - size[order]
@@ -125,63 +126,63 @@ def _seed(seed: int, source_no: int, shard: int) -> list[int]:
     return [seed, source_no, shard]
 
 
-def _plan(docs: DataFrame, weights, share, most, seed) -> tuple[DataFrame, DataFrame]:
-    """docs with _mix_* columns (size, source number, shard, key), and the quotas."""
-    spark = docs.sparkSession
-    sized = docs.withColumn("_mix_size", n_words_col(F.col("text").cast("string"))).withColumn("_mix_source", F.col("source").cast("string"))
-    totals = [(r[0], r[1] or 0, r[2]) for r in sized.groupBy("_mix_source").agg(F.sum("_mix_size"), F.count(F.lit(1))).collect()]
-    target = targets([(s, n) for s, n, _ in totals], weights, share, most)
+def block_of(target: float) -> int:
+    """Words of a source's blocks: BLOCK, or the power of two that makes 100 blocks of its target or more."""
+    return min(BLOCK, 1 << max(0, int(target // 100).bit_length() - 1))
+
+
+def _sources(docs: DataFrame, seed: int) -> tuple[DataFrame, dict[str | None, int]]:
+    """docs with key, shard and tie, and the number of rows of each source."""
+    rows = dict(map(tuple, docs.groupBy("source").count().collect()))
+    shards = [(s, max(1, math.ceil(n / DOCS_PER_SHARD))) for s, n in rows.items()]
+    table = _small(docs.sparkSession.createDataFrame(shards, "name string, shards int"))
+    dealt = docs.join(table, docs["source"].eqNullSafe(table["name"])).drop("name").withColumn("key", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(seed)))
+    return dealt.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shards")).cast("int")).drop("shards"), rows
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _quotas_of(held: DataFrame, weights, share, most) -> tuple[DataFrame, DataFrame]:
+    """From words by source and shard: the sources (name, source_no, target, total), and the quotas by source_no and shard."""
+    spark = held.sparkSession
+    size = {s: n or 0 for s, n in map(tuple, held.groupBy("source").agg(F.sum("words")).collect())}
+    target = targets(list(size.items()), weights, share, most)
     order = sorted((s for s in target if s is not None)) + [None] * (None in target)
-    size, rows = {s: n for s, n, _ in totals}, {s: c for s, _, c in totals}
-    block = max(1, min([BLOCK, *(int(t // 100) for t in target.values() if t > 0)]))
-    table = spark.createDataFrame(
-        [(s, i, float(target[s]), int(size[s]), max(1, math.ceil(rows[s] / DOCS_PER_SHARD))) for i, s in enumerate(order)],
-        "_mix_name string, _mix_no int, _mix_target double, _mix_total long, _mix_shards int",
-    )
-    if len(order) <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
-    dealt = (
-        sized.join(table, sized["_mix_source"].eqNullSafe(table["_mix_name"]))
-        .withColumn("_mix_key", key)
-        .withColumn("_mix_shard", F.pmod(F.xxhash64("_mix_key", F.lit(1)), F.col("_mix_shards")).cast("int"))
-        .drop("_mix_source", "_mix_name", "_mix_shards")
-    )
-    held = dealt.groupBy("_mix_shard", "_mix_no").agg(F.sum("_mix_size").alias("words"), F.first("_mix_target").alias("target"), F.first("_mix_total").alias("total"))
-    blocks = F.ceil(F.col("words") / block).cast("long")
-    before = Window.partitionBy("_mix_no").orderBy("_mix_shard").rowsBetween(Window.unboundedPreceding, -1)
-    parts = held.where("total > 0").select(
-        F.col("_mix_shard").alias("shard"),
-        F.col("_mix_no").alias("source_no"),
-        blocks.alias("blocks"),
-        F.coalesce(F.sum(blocks).over(before), F.lit(0)).cast("long").alias("before"),
-        (F.col("target") / F.col("total")).alias("ratio"),
-        F.lit(block).cast("long").alias("block"),
-    )
-    quotas = parts.groupBy("shard").applyInArrow(_quotas, "shard int, source_no int, quota long, block long")
-    return dealt, quotas
+    rows = [(s, i, float(target[s]), int(size[s]), block_of(target[s])) for i, s in enumerate(order)]
+    table = _small(spark.createDataFrame(rows, "name string, source_no int, target double, total long, block long"))
+    parts = held.join(table, held["source"].eqNullSafe(table["name"])).where("total > 0")
+    parts = parts.select("shard", "source_no", F.ceil(F.col("words") / F.col("block")).cast("long").alias("blocks"), (F.col("target") / F.col("total")).alias("ratio"), "block")
+    parts = sum_before(parts, "shard", "blocks", "before", by=("source_no",))
+    quotas = parts.groupBy("shard", "block").applyInArrow(_quotas, "shard int, source_no int, quota long, block long")
+    return table, quotas
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """One row a row of docs: doc_id, size, source_size, target, taken."""
     ship(docs.sparkSession)
-    dealt, quotas = _plan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"), weights, share, most, seed)
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    dealt, _ = _sources(rows, seed)
+    compact = written(dealt.select("doc_id", "source", "shard", "key", n_words_col(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")), "sizes")
+    table, quotas = _quotas_of(written(compact.groupBy("source", "shard").agg(F.sum("size").alias("words")), "words"), weights, share, most)
 
     def taken(rows: pa.Table, quota: pa.Table) -> pa.Table:
-        size = column_of(rows, "_mix_size").to_numpy()
+        size = column_of(rows, "size").to_numpy()
         out = np.zeros(len(rows), np.int64)
         if len(quota) and len(rows):
             n, block, no, shard = (column_of(quota, c)[0].as_py() for c in ("quota", "block", "source_no", "shard"))
-            whole, extra, _, _ = _taken(column_of(rows, "_mix_key").to_numpy(), size, n, block, _seed(seed, no, shard))
+            whole, extra, _, _ = _taken(column_of(rows, "key").to_numpy(), size, column_of(rows, "tie").to_numpy(), n, block, _seed(seed, no, shard))
             out = whole * size + extra
-        return pa.table({"doc_id": column_of(rows, "doc_id"), "size": size, "source_size": column_of(rows, "_mix_total"), "target": column_of(rows, "_mix_target"), "taken": out})
+        return pa.table({"doc_id": column_of(rows, "doc_id"), "size": size, "source_size": column_of(rows, "total"), "target": column_of(rows, "target"), "taken": out})
 
-    compact = dealt.select("doc_id", "_mix_size", "_mix_total", "_mix_target", "_mix_key", "_mix_no", "_mix_shard")
-    return compact.groupBy("_mix_no", "_mix_shard").cogroup(quotas.groupBy("source_no", "shard")).applyInArrow(taken, "doc_id long, size long, source_size long, target double, taken long")
+    known = compact.join(table, compact["source"].eqNullSafe(table["name"])).drop("name", "source", "block")
+    return known.groupBy("source_no", "shard").cogroup(quotas.groupBy("source_no", "shard")).applyInArrow(taken, "doc_id long, size long, source_size long, target double, taken long")
 
 
-def _part(text: str, selected: np.ndarray, begin: int, block: int) -> str:
-    """The words of a text that lie in selected blocks; words that were neighbours keep what is between them."""
+def _runs(text: str, selected: np.ndarray, begin: int, block: int) -> list[str]:
+    """The passages of a text that lie in selected blocks: each run of neighbouring words is one, as it stands in the text."""
     runs: list[list[int]] = []
     last = None
     for i, m in enumerate(_WORDS.finditer(text)):
@@ -191,35 +192,45 @@ def _part(text: str, selected: np.ndarray, begin: int, block: int) -> str:
             else:
                 runs.append([m.start(), m.end()])
             last = i
-    return " ".join(text[a:b] for a, b in runs)
+    return [text[a:b] for a, b in runs]
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
-    """The mix itself, with the columns of docs: a row each time a document is taken whole, one of its words where a part is."""
+    """The mix itself, with the columns of docs: a row each time a document is taken whole, and one for each passage where a part is."""
     ship(docs.sparkSession)
-    dealt, quotas = _plan(docs, weights, share, most, seed)
     names, schema = docs.columns, docs.schema
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("body"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    dealt, _ = _sources(rows, seed)
+    held = written(dealt.groupBy("source", "shard").agg(F.sum(n_words_col(F.col("text"))).alias("words")), "words")
+    table, quotas = _quotas_of(held, weights, share, most)
 
     def rows_taken(rows: pa.Table, quota: pa.Table) -> pa.Table:
-        body = rows.select(names)
+        held = column_of(rows, "body").combine_chunks()
+        held = held if isinstance(held, pa.StructArray) else held.chunk(0)
+        body = pa.Table.from_arrays(held.flatten(), names=names)
         if not len(quota) or not len(rows):
             return body.slice(0, 0)
-        size = column_of(rows, "_mix_size").to_numpy()
+        size = column_of(rows, "size").to_numpy()
         n, block, no, shard = (column_of(quota, c)[0].as_py() for c in ("quota", "block", "source_no", "shard"))
-        whole, extra, selected, begin = _taken(column_of(rows, "_mix_key").to_numpy(), size, n, block, _seed(seed, no, shard))
+        whole, extra, selected, begin = _taken(column_of(rows, "key").to_numpy(), size, column_of(rows, "tie").to_numpy(), n, block, _seed(seed, no, shard))
         times = np.where(size > 0, whole + (extra == size), 0)
         partly = np.flatnonzero((extra > 0) & (extra < size))
         out = [body.take(np.repeat(np.arange(len(size)), times))]
         if len(partly):
-            part = body.take(partly)
-            texts = [_part(t.as_py(), selected, int(begin[i]), block) for t, i in zip(column_of(part, "text"), partly.tolist(), strict=True)]
+            texts = [_runs(t.as_py(), selected, int(begin[i]), block) for t, i in zip(body["text"].take(partly), partly.tolist(), strict=True)]
+            part = body.take(np.repeat(partly, [len(x) for x in texts]))
+            texts = [x for held in texts for x in held]
             part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
             if "n_chars" in names:
                 part = part.set_column(names.index("n_chars"), part.schema.field("n_chars"), pa.array(list(map(len, texts)), part.schema.field("n_chars").type))
             out.append(part)
         return pa.concat_tables(out)
 
-    return dealt.drop("_mix_target", "_mix_total").groupBy("_mix_no", "_mix_shard").cogroup(quotas.groupBy("source_no", "shard")).applyInArrow(rows_taken, schema)
+    numbered = _small(table.select("name", "source_no"))
+    known = dealt.select("body", "key", "shard", "source", n_words_col(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+    known = known.join(numbered, known["source"].eqNullSafe(numbered["name"])).drop("source", "name")
+    return known.groupBy("source_no", "shard").cogroup(quotas.groupBy("source_no", "shard")).applyInArrow(rows_taken, schema)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,27 @@ def test_mixed_rows_hold_what_was_taken(docs):
     assert {k: v for k, v in taken.items() if v} == words
 
 
+def test_a_tiny_source_does_not_shrink_the_blocks_of_others(spark, docs):
+    assert [mixing.block_of(t) for t in (0, 60, 199, 200, 450, 6_399, 6_400, 10**9)] == [1, 1, 1, 2, 4, 32, 64, 64]
+    tiny = spark.createDataFrame([(10**6, "word " * 40, "en", "0tiny", 200)], docs.schema)
+    alone = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    both = {r.doc_id: r for r in mixing.mix(docs.unionByName(tiny)).collect()}
+    assert abs(both[10**6].taken / both[10**6].target - 1) < 0.05
+    assert len(both) == len(alone) + 1
+
+
+def test_parts_are_passages_of_their_text(docs, texts):
+    parts = [r for r in mixing.mixed(docs).collect() if r.text != texts[r.doc_id]]
+    assert parts and all(r.text in texts[r.doc_id] for r in parts)
+
+
+def test_ties_of_id_and_size_do_not_depend_on_the_order(spark):
+    rows = [(i % 5, f"w{i} x{i} y{i} z{i % 3} " * 9, "a" if i % 2 else "b") for i in range(300)]
+    a = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    b = mixing.mixed(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string").repartition(5))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_mix_of_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and all(r.taken <= 2 * r.size for r in rows)
@@ -95,6 +116,42 @@ def test_shards(docs, texts):
     assert max(map(len, together.values())) == 1
 
 
+def _tree(points, shards, first=0):
+    """Shards of points (key, weight, values, coordinates) by the definition: cut the widest dimension at the weighted median."""
+    scale = _tree.scale
+    if shards == 1 or not points:
+        return {p[0]: first for p in points}
+    widths = [(max(p[2][i] for p in points) - min(p[2][i] for p in points)) / scale[i] if scale[i] else 0.0 for i in range(3)]
+    axis = widths.index(max(widths))
+    _tree.axes.append(axis)
+    points = sorted(points, key=lambda p: p[3][axis])
+    goal, seen, at = sum(p[1] for p in points) * (shards // 2) / shards, 0, 0
+    while at < len(points) and seen + points[at][1] <= goal:
+        seen += points[at][1]
+        at += 1
+    if at < len(points) and goal - seen > seen + points[at][1] - goal:
+        at += 1
+    return _tree(points[:at], shards // 2, first) | _tree(points[at:], shards - shards // 2, first + shards // 2)
+
+
+def test_shards_are_those_of_the_tree(spark):
+    rows = [(i, f"text {i} " * (1 + i * i % 97), "abc"[i % 3], f"s{i * 7 % 11}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cut, groups = kd_sharding.placed_groups(kd_sharding._rows(docs), 8)
+    points = [((bytes(g.digest), g.piece), g.weight, (g.v0, g.v1, g.v2), (g.x0, g.x1, g.x2)) for g in groups.collect()]
+    _tree.scale = [max(p[2][i] for p in points) - min(p[2][i] for p in points) for i in range(3)]
+    _tree.axes = []
+    want = _tree(points, 8)
+    assert _tree.axes[0] == 0 and set(_tree.axes) == {0, 1, 2}
+    number = {r.doc_id: (bytes(r.digest), r.piece) for r in cut.collect()}
+    assert {r.doc_id: r.shard for r in kd_sharding.shard(docs).collect()} == {i: want[k] for i, k in number.items()}
+
+
+def test_shards_do_not_depend_on_the_partitioning(docs):
+    a, b = (sorted(map(tuple, kd_sharding.shard(d).collect()), key=str) for d in (docs, docs.repartition(7)))
+    assert a == b
+
+
 def test_hot_group_is_cut(spark):
     rows = [(i, "copy of one text " * 5) for i in range(400)] + [(1000 + i, f"text number {i} " * 5) for i in range(600)]
     got = kd_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
