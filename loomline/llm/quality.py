@@ -6,6 +6,11 @@ user function runs and nothing is shuffled, so it scales with the scan. Work per
 O(n log n) at most: repeated windows are found by 64-bit hashes of the windows, compared as
 hashes first and sorted only in texts that hold a repeat.
 
+The table rejects no language by kind. Stop words have an upper bound alone, for texts of hardly anything but
+stop words: a lower one would reject every language that the list doesn't know. Words may be long where
+under half of a text's word characters are ASCII letters, as scripts without spaces have long ones.
+Length has no upper bound.
+
 Defined results: a null text counts as a text without words, so it fails the base rule; rows
 that repeat are judged each on its own; an empty table gives an empty table. Only doc_id and
 text are read by ``quality``; ``keep_good`` returns all columns of its input unchanged, and
@@ -14,6 +19,7 @@ its own working columns live in one struct whose name cannot clash.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,26 +35,27 @@ STOP_WORDS = (
     "el los las y una por con para del se es al lo"
 ).split()
 SYMBOLS = "#*$%&|<>"
+ASCII_LETTERS = string.ascii_letters
 WINDOW = 5
 
 
 @dataclass(frozen=True)
 class Threshold:
-    """A measure must lie in [low, high]; texts of fewer than min_words are exempt."""
+    """A measure must lie in [low, high]; texts of fewer than min_words, or with a smaller part of ASCII letters than min_ascii, are exempt."""
 
     measure: str
     low: float | None = None
     high: float | None = None
     min_words: int = 0
+    min_ascii: float = 0.0
 
 
 #: The production table: measures are ratios of the columns of measures().
 TABLE = (
-    Threshold("mean_word_chars", low=2.0, high=15.0),
+    Threshold("mean_word_chars", low=2.0, high=15.0, min_ascii=0.5),
     Threshold("symbols_per_word", high=0.3),
-    Threshold("stop_word_ratio", low=0.02, min_words=50),
+    Threshold("stop_word_ratio", high=0.8, min_words=20),
     Threshold("dup_line_ratio", high=0.5, min_words=20),
-    Threshold("chars", high=5_000_000),
 )
 
 
@@ -100,7 +107,7 @@ def measures(text: Column) -> Column:
             _n_dup_lines(text).cast("long").alias("n_dup_lines"),
             _n_repeat_words(w).cast("long").alias("n_repeat_words"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-            F.length(text).cast("long").alias("n_chars"),
+            (F.length(text) - F.length(F.translate(text, ASCII_LETTERS, ""))).cast("long").alias("n_ascii"),
             (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long").alias("n_lines"),
         )
 
@@ -115,7 +122,7 @@ def ratios(m: Column) -> dict[str, Column]:
         "symbols_per_word": m["n_symbols"] / n,
         "stop_word_ratio": m["n_stop_words"] / n,
         "dup_line_ratio": m["n_dup_lines"] / F.greatest(m["n_lines"], F.lit(1)).cast("double"),
-        "chars": m["n_chars"].cast("double"),
+        "ascii_ratio": m["n_ascii"] / F.greatest(m["word_chars"], F.lit(1)).cast("double"),
     }
 
 
@@ -129,7 +136,7 @@ def verdict(m: Column, table=TABLE) -> Column:
             inside &= value[t.measure] >= t.low
         if t.high is not None:
             inside &= value[t.measure] <= t.high
-        passes &= inside | (m["n_words"] < t.min_words)
+        passes &= inside | (m["n_words"] < t.min_words) | (value["ascii_ratio"] < t.min_ascii)
     return passes
 
 
@@ -165,12 +172,12 @@ def _sql_table(table=TABLE) -> str:
         "symbols_per_word": f"n_symbols / {n}",
         "stop_word_ratio": f"n_stop_words / {n}",
         "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)::DOUBLE",
-        "chars": "n_chars::DOUBLE",
+        "ascii_ratio": "n_ascii / greatest(word_chars, 1)::DOUBLE",
     }
     rules = []
     for t in table:
         bounds = [f"{value[t.measure]} >= {t.low}"] * (t.low is not None) + [f"{value[t.measure]} <= {t.high}"] * (t.high is not None)
-        rules.append(f"(({' AND '.join(bounds)}) OR n_words < {t.min_words})")
+        rules.append(f"(({' AND '.join(bounds)}) OR n_words < {t.min_words} OR {value['ascii_ratio']} < {t.min_ascii})")
     return " AND ".join(rules)
 
 
@@ -197,7 +204,7 @@ counted AS (
      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
     len(list_filter(w, lambda x: lower(x) IN ({stop})))::BIGINT AS n_stop_words,
-    length(t)::BIGINT AS n_chars, len(string_split(t, chr(10)))::BIGINT AS n_lines
+    (length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')))::BIGINT AS n_ascii, len(string_split(t, chr(10)))::BIGINT AS n_lines
   FROM numbered LEFT JOIN covered USING (rid)),
 judged AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM counted)
 SELECT *, (NOT base_failed AND {_sql_table()}) AS kept FROM judged"""

@@ -31,6 +31,27 @@ def test_keeps_prose_and_drops_symbols(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {1, 3}
 
 
+OTHER = {
+    "it": "Ogni mattina il vecchio maestro saliva sulla collina con due libri sotto braccio e guardava le barche che tornavano piano verso il porto, mentre sua figlia preparava il pane fresco nella cucina piccola. Quando pioveva restava dentro casa, scriveva lunghe lettere agli amici lontani e ascoltava il vento, perché diceva che ogni tempesta porta una storia nuova da raccontare ai ragazzi dopo cena, prima che la notte scenda sopra il paese tranquillo.",
+    "ru": "Каждое утро старый учитель поднимался на холм с двумя книгами под рукой и смотрел, как лодки медленно возвращались в гавань, пока его дочь пекла свежий хлеб в маленькой кухне. Когда шёл дождь, он оставался дома, писал длинные письма далёким друзьям и слушал ветер, потому что говорил, что каждая буря приносит новую историю, которую можно рассказать детям после ужина, прежде чем ночь опустится над тихим посёлком.",
+    "pl": "Każdego ranka stary nauczyciel wchodził na wzgórze z dwiema książkami pod pachą i patrzył, jak łodzie powoli wracały do portu, podczas gdy jego córka piekła świeży chleb w małej kuchni. Kiedy padało, zostawał w domu, pisał długie listy przyjaciołom i słuchał wiatru, ponieważ mówił, że każda burza przynosi nową opowieść, którą można opowiedzieć dzieciom po kolacji, zanim noc zapadnie nad cichą wioską.",
+    "th": " ".join("ทุกเช้าครูชราจะเดินขึ้นเนินเขาพร้อมหนังสือสองเล่ม" + str(i) for i in range(30)),
+}
+
+
+def test_keeps_prose_in_any_language_and_of_any_length(spark):
+    rows = [*OTHER.items(), ("long", " ".join(prose(i, 1000) for i in range(900)))]
+    assert len(rows[-1][1]) > 5_000_000
+    kept = quality.quality(spark.createDataFrame([(k, t) for k, t in rows], "doc_id string, text string")).collect()
+    assert all(r.kept for r in kept), [r for r in kept if not r.kept]
+    salad = "the of and to in is that it for on with as by at this be are from or an " * 1
+    words = salad.split()
+    import random
+
+    mixed = " ".join(random.Random(3).sample(words * 3, 60))
+    assert not quality.quality(spark.createDataFrame([(1, mixed)], "doc_id long, text string")).first().kept
+
+
 def test_keep_good_keeps_columns(odd):
     kept = quality.keep_good(odd)
     assert kept.columns == odd.columns
