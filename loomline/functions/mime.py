@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomline.sources.tables import ship
 
+NO_TEXT = "message without text"
 HEADERS = ("from", "to", "cc", "bcc", "date", "subject", "message_id", "in_reply_to", "references")
 PARSED = pa.schema(
     [
@@ -49,7 +50,7 @@ def parse_message(raw: str | None, policy: str = "modern", lossy: bool = False)
     """
     try:
         if raw is None:
-            raise TypeError("initial_value must be str or None, not float")
+            raise ValueError(NO_TEXT)
         rules = email.policy.default if policy == "modern" else email.policy.compat32
         msg = email.message_from_string(raw, policy=rules) if lossy else email.message_from_bytes(raw.encode("utf-8"), policy=rules)
         shown = lambda v: None if v is None else _clean(str(v))

@@ -156,20 +156,40 @@ def truncated(c: Column, most: int = 30, mark: str = "...") -> Column:
     return F.when(F.length(c) > most, F.concat(F.left(c, F.lit(most)), F.lit(mark))).otherwise(c)
 
 
+# Months, and offsets of the named zones of RFC 5322.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+ZONES = {
+    "UT": "+0000", "UTC": "+0000", "GMT": "+0000", "Z": "+0000", "AST": "-0400", "ADT": "-0300", "EST": "-0500", "EDT": "-0400",
+    "CST": "-0600", "CDT": "-0500", "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+}
+_DATE = rf"(?i)(?:^|[\s,])(\d{{1,2}})[\s-]+({'|'.join(MONTHS)})[a-z]*[\s,-]+(\d{{4}}|\d{{2}})[\s,]+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}}))?(?:\s*([+-]\d{{4}})|\s+([A-Za-z]+))?(?![\d:])"
+
+
+def _date_parts(c: Column) -> tuple[Column, Column]:
+    """(local time as yyyy-MM-dd HH:mm:ss, offset as +HHMM or null where it is missing, unknown or -0000); nulls where c holds no date."""
+    part = lambda i: F.regexp_extract(c, _DATE, i)
+    number = F.lpad((F.floor(F.instr(F.lit(" ".join(MONTHS).lower()), F.lower(part(2))) / 4) + 1).cast("string"), 2, "0")
+    two = part(3).try_cast("int")
+    # years of two digits up to 68 are of this century
+    year = F.when(F.length(part(3)) == 4, part(3)).otherwise((two + F.when(two > 68, 1900).otherwise(2000)).cast("string"))
+    second = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
+    local = F.concat(year, F.lit("-"), number, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit(" "), F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), second)
+    names = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
+    offset = F.when(part(7) != "", F.nullif(part(7), F.lit("-0000"))).otherwise(names[F.upper(part(8))])
+    return F.when(part(1) != "", local), offset
+
+
 def date_timestamp(c: Column) -> Column:
-    """Instant of an RFC 5322 date with a numeric offset; null where it isn't one."""
-    core = F.regexp_extract(c, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4})", 1)
-    return F.try_to_timestamp(F.nullif(core, F.lit("")), F.lit("d MMM yyyy HH:mm:ss Z"))
+    """Instant of an RFC 5322 date, with or without seconds, weekday and zone (a date without one is UTC); null where it isn't one."""
+    local, offset = _date_parts(c)
+    return F.try_to_timestamp(F.concat(local, F.lit(" "), F.coalesce(offset, F.lit("+0000"))), F.lit("yyyy-MM-dd HH:mm:ss Z"))
 
 
 def date_iso(c: Column) -> Column:
-    """ISO text of such a date with its own offset."""
-    month = "|".join(("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))
-    form = rf"(\d{{1,2}}) ({month}) (\d{{4}}) (\d{{2}}:\d{{2}}:\d{{2}}) ([+-]\d{{2}})(\d{{2}})"
-    part = lambda i: F.regexp_extract(c, form, i)
-    number = F.lpad((F.floor(F.instr(F.lit(month), part(2)) / 4) + 1).cast("string"), 2, "0")
-    zone = F.when(F.concat(part(5), part(6)) == "-0000", F.lit("")).otherwise(F.concat(part(5), F.lit(":"), part(6)))
-    return F.when(part(1) != "", F.concat(part(3), F.lit("-"), number, F.lit("-"), F.lpad(part(1), 2, "0"), F.lit("T"), part(4), zone))
+    """ISO text of such a date with its own offset; none where it has none."""
+    local, offset = _date_parts(c)
+    zone = F.when(offset.isNull(), F.lit("")).otherwise(F.concat(F.left(offset, F.lit(3)), F.lit(":"), F.right(offset, F.lit(2))))
+    return F.when(date_timestamp(c).isNotNull(), F.concat(F.replace(local, F.lit(" "), F.lit("T")), zone))
 
 
 def header_block(c: Column) -> Column:

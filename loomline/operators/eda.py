@@ -93,6 +93,11 @@ def summary(messages: DataFrame, text: str, times: DataFrame, sender: str, recip
     """One row of everything: rows, lengths, top word, correspondents, times."""
     one = messages.agg(F.count(F.lit(1)).alias("n_messages")).crossJoin(length_stats(messages, text))
     word = word_frequency(messages, text, 1).select(F.col("word").alias("top_word"), F.col("n").alias("top_word_n"))
-    for part in (word, distinct_counts(times, sender, recipient), top_share(times, sender), top_share(times, recipient), peaks(times), date_range(times)):
+    day = lambda f: F.date_format(f("parsed_date"), "yyyy-MM-dd")
+    known = times.agg(  # one pass over the times
+        *[F.count_distinct(F.col(c)).alias(f"n_{c}") for c in (sender, recipient)],
+        F.mode("hour", True).alias("peak_hour"), F.mode("weekday", True).alias("peak_weekday"), day(F.min).alias("first_day"), day(F.max).alias("last_day"),
+    )
+    for part in (word, known, top_share(times, sender), top_share(times, recipient)):
         one = one.crossJoin(part)
     return one

@@ -31,8 +31,8 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
-    """Rows minus distinct rows; nulls are equal."""
-    distinct = df.groupBy(*df.columns).count()
+    """Rows minus distinct rows; nulls are equal. Rows are counted by their digests, so no text is shuffled."""
+    distinct = df.groupBy(_digest(df.columns).alias("key")).count()
     return distinct.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_duplicate_rows"))
 
 
@@ -54,25 +54,30 @@ def bad_encoding(column: Column) -> Column:
     return F.coalesce(~F.is_valid_utf8(column.cast("string")), F.lit(False))
 
 
+def _digest(columns) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
 def _with_count(df: DataFrame, subset: tuple[str, ...]) -> DataFrame:
     """df with _n, the rows that agree with a row on the subset, nulls equal.
 
     Digests are counted before they are joined back, so a hot group costs a row a task, and the join
     splits its rows.
     """
-    keyed = df.withColumn("_k", F.sha2(F.to_json(F.struct(*subset), {"ignoreNullFields": "false"}), 256))
+    keyed = df.withColumn("_k", _digest(subset))
     return keyed.join(keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")), "_k").drop("_k")
 
 
 def duplicates(df: DataFrame, *subset: str) -> DataFrame:
     """All rows of groups with several rows, nulls equal."""
-    return _with_count(df, subset).where("_n > 1").drop("_n")
+    keyed = df.withColumn("_k", _digest(subset))
+    return keyed.join(keyed.groupBy("_k").count().where("count > 1"), "_k", "left_semi").drop("_k")
 
 
 def row_metrics(df: DataFrame, index: str = "seq", text: str = "message", subset: tuple[str, ...] = ("file", "message")) -> DataFrame:
     """Per row: number of nulls, encoding flag, duplicate flag."""
     nulls = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("int") for c in df.columns if c != index])
-    key = F.sha2(F.to_json(F.struct(*subset), {"ignoreNullFields": "false"}), 256)
+    key = _digest(subset)
     flags = df.select(F.col(index).cast("long").alias("email_index"), nulls.alias("missing_field"), bad_encoding(F.col(text)).alias("has_encoding_issues"), key.alias("key"))
     return _with_count(flags, ("key",)).select("email_index", "missing_field", "has_encoding_issues", (F.col("_n") > 1).alias("is_duplicate"))
 

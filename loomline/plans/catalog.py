@@ -7,6 +7,7 @@ fields that the message view is made from where the query parses messages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,10 @@ from loomline.functions import mime
 from loomline.functions import text as X
 from loomline.operators import content, eda, parse, profile, sample, threads
 from loomline.plans.fixtures import EMAILS_SQL as E
-from loomline.plans.fixtures import emails, multipart, table
-from loomline.sources.tables import written
+from loomline.plans.fixtures import emails, message_columns, multipart, raw_text, table
+from loomline.sources import files, sinks
+from loomline.sources.schemas import PARSED, RAW
+from loomline.sources.tables import delete_at_exit, shared_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -126,7 +129,10 @@ def sample_exact(spark, sf_dir):
     return sample.sample_exact(_docs(spark, sf_dir), 100, key="doc_id")
 
 
-@query("SELECT 100::BIGINT AS n_rows, true AS size_ok, 5::BIGINT AS n_columns, true AS columns_ok, 0::BIGINT AS extra_rows")
+@query("""
+WITH s AS (SELECT * FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 100), n AS (SELECT count(*) AS n_rows FROM s)
+SELECT n_rows, n_rows = 100 AS size_ok, (SELECT count(*) FROM (DESCRIBE documents)) AS n_columns, (SELECT count(*) FROM (DESCRIBE documents)) = (SELECT count(*) FROM (DESCRIBE s)) AS columns_ok,
+  (SELECT count(*) FROM (SELECT * FROM s EXCEPT ALL SELECT * FROM documents)) AS extra_rows FROM n""")
 def sample_verify(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return sample.verify_sample(sample.sample_exact(docs, 100, key="doc_id"), docs, 100)
@@ -233,7 +239,7 @@ def parse_report(spark, sf_dir):
     return parse.report(_parsed(spark, sf_dir, bad_every=50))
 
 
-@query(f"SELECT 'initial_value must be str or None, not float' AS error, count(*) AS n FROM {_BAD} WHERE NOT ok HAVING count(*) > 0")
+@query(f"SELECT '{mime.NO_TEXT}' AS error, count(*) AS n FROM {_BAD} WHERE NOT ok HAVING count(*) > 0")
 def parse_error_distribution(spark, sf_dir):
     return parse.error_distribution(_parsed(spark, sf_dir, bad_every=50))
 
@@ -509,3 +515,193 @@ SELECT (SELECT count(*) FROM documents) AS n_messages, s.*, w.word AS top_word,
 FROM ({_STATS}) s, (SELECT * FROM ({_sql_counts()}) ORDER BY n DESC, word LIMIT 1) w, ({_RANGE}) r""")
 def eda_summary(spark, sf_dir):
     return eda.summary(_docs(spark, sf_dir), "text", _times(spark, sf_dir), "user_id", "event_type")
+
+
+# --- dates as they are written -------------------------------------------------------------------------------
+
+#: Forms by event_id % 8: (pattern of Spark, what follows, format of ISO in DuckDB, offset in minutes or none).
+_FORMS = (
+    ("EEE, d MMM yyyy HH:mm:ss", " GMT", "%Y-%m-%dT%H:%M:%S", "+00:00", 0),
+    ("d MMM yyyy HH:mm", " EST", "%Y-%m-%dT%H:%M:00", "-05:00", -300),
+    ("EEE, d MMM yy HH:mm:ss", " +0530", "%Y-%m-%dT%H:%M:%S", "+05:30", 330),
+    ("d MMM yyyy HH:mm:ss", "", "%Y-%m-%dT%H:%M:%S", "", 0),
+    ("EEE, dd MMM yyyy HH:mm:ss", " -0000", "%Y-%m-%dT%H:%M:%S", "", 0),
+    ("d MMM yy HH:mm", " PDT", "%Y-%m-%dT%H:%M:00", "-07:00", -420),
+    ("EEE, d MMM yyyy H:mm:ss", " -0730 (XYZ)", "%Y-%m-%dT%H:%M:%S", "-07:30", -450),
+)
+
+
+def _case(value) -> str:
+    return "CASE event_id % 8 " + " ".join(f"WHEN {i} THEN {value(*form)}" for i, form in enumerate(_FORMS)) + " END"
+
+
+@query(f"SELECT event_id, {_case(lambda p, z, iso, o, m: f"strftime(ts, '{iso}') || '{o}'")} AS iso, {_case(lambda p, z, iso, o, m: f"strftime(strptime(strftime(ts, '{iso}'), '%Y-%m-%dT%H:%M:%S') - to_minutes({m}), '%Y-%m-%d %H:%M:%S')")} AS utc FROM events WHERE ts IS NOT NULL")
+def date_forms(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("ts is not null")
+    form = F.lit("Thu, 99 Jam 2024, soon")
+    for i, (pattern, zone, *_) in enumerate(_FORMS):
+        form = F.when(F.col("event_id") % 8 == i, F.concat(F.date_format("ts", pattern), F.lit(zone))).otherwise(form)
+    utc = F.date_format(F.to_utc_timestamp(X.date_timestamp(F.col("date")), F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    return rows.select("event_id", form.alias("date")).select("event_id", X.date_iso(F.col("date")).alias("iso"), utc.alias("utc"))
+
+
+# --- sources and sinks ---------------------------------------------------------------------------------------
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    return shared_path(spark, name)
+
+
+@query("SELECT doc_id::VARCHAR AS file, text AS message FROM documents")
+def csv_round_trip(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("message"))
+    path = sinks.write_csv(docs, _path(spark, "round-trip.csv"))
+    delete_at_exit(spark, path)
+    return files.read_csv(spark, path, na=False)
+
+
+_RAW = raw_text(message_columns())
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY seq) - 1)::VARCHAR AS id, 'box/' || id AS filename, md5({_RAW}) AS digest FROM (SELECT *, '' AS refs FROM {E})")
+def csv_messages(spark, sf_dir):
+    raw = emails(spark, sf_dir).repartition(1).sortWithinPartitions("seq").select(F.col("filename").alias("file"), F.col("raw_text").alias("message"))
+    path = sinks.write_csv(raw, _path(spark, "messages.csv"), one_file=True)
+    delete_at_exit(spark, path)
+    return files.load_messages(spark, path).select("id", "filename", F.md5("raw_text").alias("digest"))
+
+
+@query("SELECT 'f' || event_id AS file, CASE WHEN event_id % 5 > 2 THEN 'm' || event_id || ', \"' || event_type || '\"' END AS message FROM events WHERE event_id % 5 > 0")
+def csv_odd_rows(spark, sf_dir):
+    """Rows of too many fields, of too few, and with a mark for a missing value."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id") % 5
+    name = F.concat(F.lit("f"), F.col("event_id"))
+    whole = F.concat(name, F.lit(',"m'), F.col("event_id"), F.lit(', ""'), F.col("event_type"), F.lit('"""'))
+    line = F.when(k == 0, F.concat(name, F.lit(",a,b"))).when(k == 1, name).when(k == 2, F.concat(name, F.lit(",NA"))).otherwise(whole)
+    lines = e.select(F.col("event_id").alias("o"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "file,message")], "o long, value string"))
+    path = _path(spark, "odd.csv")
+    lines.repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    delete_at_exit(spark, path)
+    return files.read_csv(spark, path, RAW)
+
+
+@query(f"SELECT id, message_id, subject, {_BODY} AS body_text, true AS parsing_success FROM {E}")
+def jsonl_round_trip(spark, sf_dir):
+    path = sinks.write_jsonl(_parsed(spark, sf_dir), _path(spark, "parsed.jsonl"))
+    delete_at_exit(spark, path)
+    h = F.col("headers")
+    return files.read_jsonl(spark, path).select("id", h["message_id"].alias("message_id"), h["subject"].alias("subject"), "body_text", "parsing_success")
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 4 > 1) AS n_read, count(*) FILTER (WHERE event_id % 4 <= 1) AS n_bad FROM events")
+def jsonl_bad_lines(spark, sf_dir):
+    """Broken and blank lines are skipped, and counted."""
+    k, name = F.col("event_id") % 4, F.col("event_id").cast("string")
+    line = F.when(k == 0, F.lit(" ")).when(k == 1, F.concat(F.lit('{"id": "'), name)).otherwise(F.concat(F.lit('{"id": "'), name, F.lit('", "body_text": "x", "parsing_success": true}')))
+    path = _path(spark, "odd.jsonl")
+    table(spark, sf_dir, "events").select(line.alias("value")).write.text(path)
+    delete_at_exit(spark, path)
+    read = files.read_jsonl(spark, path, PARSED).agg(F.count("id").alias("n_read"))
+    return read.withColumn("n_bad", F.lit(files.count_bad_lines(spark, path, PARSED)).cast("long"))
+
+
+@query("SELECT true AS all_written, count(*) AS n_messages FROM conversations")
+def outputs_validated(spark, sf_dir):
+    path = sinks.write_report(parse.full_report(_parsed(spark, sf_dir)), _path(spark, "report.json"))
+    delete_at_exit(spark, path)
+    found = sinks.validate_outputs(spark, path)
+    missing = sinks.validate_outputs(spark, f"{path}-missing")
+    return spark.read.json(path).select(F.lit(all(found.values()) and not any(missing.values())).alias("all_written"), F.col("total_emails").cast("long").alias("n_messages"))
+
+
+# --- graphs that mail archives have --------------------------------------------------------------------------
+
+#: By event_id % 10: the message's id, what it replies to, what it refers to. 2 replies to itself, 3 and 4 to each other, 5 to a
+#: message that isn't there, 6 has two roots, 7 has the id of 1.
+_ODD_REPLY = {1: 0, 2: 2, 3: 4, 4: 3, 5: 99, 6: 0, 7: 6, 9: 8}
+_ODD_REFS = {6: (5, 0, 6)}
+
+
+def _odd_records(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    group, k = F.floor(F.col("event_id") / 10).cast("long").cast("string"), F.col("event_id") % 10
+    name = lambda x: F.concat(F.lit("g"), group, F.lit("."), x.cast("string"))
+    pick = lambda table_, default: reduce(lambda c, kv: F.when(k == kv[0], kv[1]).otherwise(c), table_, default)
+    reply = pick([(a, name(F.lit(b))) for a, b in _ODD_REPLY.items()], F.lit(""))
+    refs = pick([(a, F.array(*[name(F.lit(b)) for b in bs])) for a, bs in _ODD_REFS.items()], F.array().cast("array<string>"))
+    return e.select(
+        F.col("event_id").alias("seq"), name(F.when(k == 7, F.lit(1)).otherwise(k)).alias("message_id"), reply.alias("in_reply_to"), refs.alias("references"),
+        F.concat(F.lit("S"), k.cast("string")).alias("subject"), F.concat(F.lit("s"), k.cast("string")).alias("normalized_subject"), F.lit(None).cast("string").alias("date"), F.concat(F.lit("u"), k.cast("string")).alias("from"),
+    )
+
+
+_ODD_SQL = f"""
+r AS (SELECT event_id AS seq, 'g' || event_id // 10 || '.' AS g, event_id % 10 AS k FROM events),
+rec AS (SELECT seq, g || CASE k WHEN 7 THEN 1 ELSE k END AS m, CASE k {' '.join(f"WHEN {a} THEN g || {b}" for a, b in _ODD_REPLY.items())} ELSE '' END AS reply,
+  CASE k {' '.join(f"WHEN {a} THEN [{', '.join(f'g || {b}' for b in bs)}]" for a, bs in _ODD_REFS.items())} ELSE [] END AS refs FROM r),
+n AS (SELECT m, min(seq) AS first_seq FROM rec GROUP BY m),
+x AS (SELECT reply AS src, m AS dst, 'reply' AS relationship, 0 AS phase, seq FROM rec UNION ALL
+  SELECT src, m, 'reference', 1, seq FROM (SELECT unnest(refs) AS src, m, seq FROM rec) WHERE src <> m),
+e AS (SELECT src, dst, arg_max(relationship, seq * 10 + phase) AS relationship FROM x WHERE src IN (SELECT m FROM n) GROUP BY src, dst),
+roots AS (SELECT * FROM n WHERE m NOT IN (SELECT dst FROM e))"""
+
+
+@query(f"WITH {_ODD_SQL} SELECT src, dst, relationship FROM e")
+def thread_odd_edges(spark, sf_dir):
+    records = written(_odd_records(spark, sf_dir), "records")
+    return threads.edges(records, threads.nodes(records))
+
+
+@query(f"""
+WITH RECURSIVE {_ODD_SQL},
+walk AS (SELECT m AS root, m AS node, 0 AS depth FROM roots UNION SELECT root, dst, depth + 1 FROM walk JOIN e ON node = src WHERE src <> dst AND depth < 12),
+reached AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY root, node),
+numbered AS (SELECT m, format('thread_{{:04d}}', row_number() OVER (ORDER BY first_seq, m)) AS thread_id FROM roots)
+SELECT thread_id, root AS root_message_id, count(*) AS message_count, string_agg(node, ', ' ORDER BY first_seq) AS message_ids, max(depth)::BIGINT AS thread_depth
+FROM reached JOIN n ON node = n.m JOIN numbered ON root = numbered.m GROUP BY thread_id, root""")
+def thread_odd_graphs(spark, sf_dir):
+    found = threads.threads(_odd_records(spark, sf_dir))
+    return found.select("thread_id", "root_message_id", "message_count", F.array_join("message_ids", ", ").alias("message_ids"), "thread_depth")
+
+
+@query(f"WITH {_ODD_SQL} SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM roots) AS n_roots, (SELECT count(*) FROM n WHERE m IN (SELECT src FROM e WHERE src = dst)) AS n_self_replies")
+def thread_odd_nodes(spark, sf_dir):
+    records = written(_odd_records(spark, sf_dir), "records")
+    n = written(threads.nodes(records), "nodes")
+    e = written(threads.edges(records, n), "edges")
+    return n.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(threads.roots(n, e).agg(F.count(F.lit(1)).alias("n_roots"))).crossJoin(e.agg(F.count_if(F.col("src") == F.col("dst")).alias("n_self_replies")))
+
+
+# --- literal behaviour, and flags that are set ----------------------------------------------------------------
+
+
+def _without_subject(spark, sf_dir):
+    raw = emails(spark, sf_dir)
+    return raw.withColumn("raw_text", F.when(F.col("seq") % 3 == 0, F.regexp_replace("raw_text", "Subject: [^\n]*\n", "")).otherwise(F.col("raw_text")))
+
+
+@query(f"SELECT id, CASE WHEN seq % 3 = 0 THEN '' ELSE 'c' || conv_id || '.' || turn END AS message, CASE WHEN seq % 3 = 0 THEN '' ELSE {_FROM} END AS sender, CASE WHEN seq % 3 <> 0 THEN iso END AS date FROM {E}")
+def compat_blank_headers(spark, sf_dir):
+    """A missing subject blanks the other headers too."""
+    rows = content.normalized_headers(parse.parse(_without_subject(spark, sf_dir)), compat=True)
+    return rows.select("id", F.regexp_extract("n_message_id", "<(.*)@", 1).alias("message"), F.col("n_from").alias("sender"), F.col("n_date").alias("date"))
+
+
+@query(f"SELECT id, 'c' || conv_id || '.' || turn AS message, {_FROM} AS sender, iso AS date FROM {E}")
+def kept_headers(spark, sf_dir):
+    """Without compat they stay."""
+    rows = content.normalized_headers(parse.parse(_without_subject(spark, sf_dir)))
+    return rows.select("id", F.regexp_extract("n_message_id", "<(.*)@", 1).alias("message"), F.col("n_from").alias("sender"), F.col("n_date").alias("date"))
+
+
+@query(f"SELECT '{mime.NO_TEXT}' AS error, least(10, count(*))::BIGINT AS n FROM {_BAD} WHERE NOT ok HAVING count(*) > 0")
+def compat_first_errors(spark, sf_dir):
+    return parse.error_distribution(_parsed(spark, sf_dir, bad_every=50), compat=True)
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS has_encoding_issues FROM events")
+def encoding_flags(spark, sf_dir):
+    """Bytes that aren't UTF-8, others that are, and missing ones."""
+    k = F.col("event_id") % 4
+    data = F.when(k == 0, F.unhex(F.lit("41FF42"))).when(k == 1, F.encode(F.lit("é"), "utf-8")).when(k == 3, F.encode(F.lit("abc"), "utf-8"))
+    return table(spark, sf_dir, "events").select("event_id", profile.bad_encoding(data).alias("has_encoding_issues"))

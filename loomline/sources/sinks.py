@@ -18,7 +18,7 @@ def log_to(path: str | None = None, name: str = "loomline") -> logging.Logger:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> str:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 

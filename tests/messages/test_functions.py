@@ -119,3 +119,19 @@ def test_native_headers(spark):
     assert one(spark, block, lambda c: X.header(c, "Subject")) == ["x folded"]
     assert one(spark, block, lambda c: X.header(c, "Cc")) == [None]
     assert one(spark, [raw], X.plain_body) == ["From: body"]
+
+
+def test_dates_equal_the_standard_library(spark):
+    from email.utils import mktime_tz, parsedate_to_datetime, parsedate_tz
+
+    forms = [
+        "Mon, 1 Jan 2024 10:00:00 GMT", "1 Jan 2024 10:00 EST", "Tue, 2 Jan 24 10:00:05 +0530", "2 Feb 99 23:59 PDT", "3 Mar 68 01:02:03 MST", "3 Mar 69 01:02:03 Z",
+        "Thu, 29 Feb 2024 9:05:07 -0000", "5 December 2023 10:11:12 UT", "5-Dec-2023 10:11:12 +0000", "Fri,  8 Nov 2002 01:02:03 -0800 (PST)", "8 Nov 2002 01:02:03", "8 Nov 2002 01:02:03 CDT (x)",
+    ]
+    bad = ["", None, "soon", "31 Feb 2024 10:00:00 GMT", "1 Jan 2024", "1 Jan 2024 25:00 GMT"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(forms + bad)], "i int, d string").select("i", X.date_iso(F.col("d")).alias("iso"), X.date_timestamp(F.col("d")).cast("long").alias("at"))
+    got = {r.i: (r.iso, r.at) for r in rows.collect()}
+    for i, d in enumerate(forms):
+        parsed = parsedate_tz(d)
+        assert got[i] == (parsedate_to_datetime(d).isoformat(), mktime_tz((*parsed[:9], parsed[9] or 0))), d
+    assert all(got[i] == (None, None) for i in range(len(forms), len(forms) + len(bad)))
