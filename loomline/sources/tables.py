@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
+#: Settings by which the allocators of a Python worker return what it frees.
+LEAN = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "4194304"}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package by the path the driver has it at."""
+    """Let Python workers import this package by the path the driver has it at, and give freed memory back, as they are used again."""
     env = spark.sparkContext.environment
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
