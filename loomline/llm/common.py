@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomline.sources.tables import delete_at_exit, discard, shared_path, ship, sum_before, written
 
-__all__ = ["column_of", "delete_at_exit", "discard", "n_words_col", "numbered", "release", "shared_path", "ship", "sum_before", "text_slices", "unused", "without", "words_col", "written"]
+__all__ = ["by_bytes", "column_of", "delete_at_exit", "discard", "n_words_col", "numbered", "release", "shared_path", "ship", "sum_before", "text_slices", "unused", "without", "words_col", "written"]
 
 #: The white space of every contract here.
 SPACE = r"[\x20\x09-\x0D]"
@@ -94,5 +95,16 @@ def text_slices(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndar
     return raw, begin, end
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batches cut so that a text column holds about most bytes, or one row, in each."""
+    for batch in batches:
+        _, begin, end = text_slices(column_of(batch, name))
+        i = 0
+        while i < len(batch):
+            j = max(i + 1, int(np.searchsorted(end, begin[i] + most, "right")))
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))

@@ -54,7 +54,7 @@ FILE_BYTES = 32 << 20
 #: Files at most.
 FILES = 50_000
 #: Pieces whose ids a worker remembers; later ones are encoded anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
