@@ -6,7 +6,8 @@ each source with ids left its share of the window as credit, and the source with
 is served first, at least LEAST ids at a time. Shares are the sources' true parts of all ids, or those given;
 a source that a given share asks more of than it has ends early, as every id is packed once. Credit is
 carried from window to window; a bucket starts with the credit that the buckets before it leave, known
-from the ids of each source in them. Documents are cut freely, so all windows but a bucket's last are full; the last is split into sequences of
+from the ids of each source in them, up to a window's ids either way: as a bucket packs its own documents, more
+could only push a source to its begin or end, whose windows would then hold few sources. Documents are cut freely, so all windows but a bucket's last are full; the last is split into sequences of
 powers of two, which need no padding.
 
 Encoding uses the tokenizers library (see token_files.PieceEncoder), each document once.
@@ -130,7 +131,9 @@ def pack(docs: DataFrame, path: str | None = None, name: str = "byte_bpe_50k.jso
     parts = held.groupBy(F.col("source").alias("name")).agg(F.sum("n").alias("whole"))
     total = held.agg(F.sum("n")).first()[0] or 0
     known = sum_before(held, "bucket", "n", "before", by=("source",)).join(parts, F.col("source").eqNullSafe(F.col("name")))
-    credits = known.select("bucket", "source", (F.col("whole") / float(max(total, 1))).alias("share"), (F.col("whole") * F.col("bucket") / float(buckets) - F.col("before")).alias("credit"))
+    owed = F.col("whole") * F.col("bucket") / float(buckets) - F.col("before")
+    owed = F.greatest(F.least(owed, F.lit(float(LENGTH))), F.lit(-float(LENGTH)))
+    credits = known.select("bucket", "source", (F.col("whole") / float(max(total, 1))).alias("share"), owed.alias("credit"))
     return coded.drop("n").groupBy("bucket").cogroup(credits.groupBy("bucket")).applyInArrow(lambda a, b: pack_bucket(a, b, path, targets), ", ".join(f"{c} long" for c in _SCHEMA.names))
 
 
