@@ -1,20 +1,19 @@
 """Reply graph and threads.
 
-Nodes and edges are tables; what a root reaches is found level by level: each round joins the
-frontier with the edges and keeps pairs not visited before, so cycles end and the first visit is
-the shortest path. A round's table is written to the shared folder. Rounds are as many as the longest
-thread is deep; all shuffles are on node or (root, node).
+Nodes and edges are tables. Chains of single parents are shortened first: pointers to parents are doubled until each
+node knows the head it hangs from, so a deep thread takes a number of rounds logarithmic in its depth. Where nodes of several parents
+are heads too, shortest paths between heads are found level by level: a round joins the frontier with the weighted links
+and keeps pairs that got nearer, so cycles end. A round's table is written to the shared folder and no plan grows with the
+rounds; all shuffles are on node, head or (root, head).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.sources.tables import ranked, written
+from loomline.sources.tables import discard, ranked, written
 
 
 def reference_records(parsed: DataFrame, compat: bool = False) -> DataFrame:
@@ -55,18 +54,55 @@ def roots(nodes_: DataFrame, edges_: DataFrame) -> DataFrame:
     return nodes_.join(edges_.select(F.col("dst").alias("message_id")), "message_id", "left_anti").select("message_id", "first_seq")
 
 
+def _trees(roots_: DataFrame, steps: DataFrame) -> DataFrame:
+    """(head, node, hops): the head a node hangs from by single parents, and how far.
+
+    Heads are the roots and the nodes of two or more parents, each at 0 from itself. Pointers to parents are doubled, so
+    rounds are as many as the binary logarithm of the longest chain. A round that settles no node was the last: what is left
+    hangs from a cycle or from no root.
+    """
+    parents = written(steps.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("src")), "parents")
+    heads = roots_.select(F.col("message_id").alias("node")).unionByName(parents.where("n > 1").select("node"))
+    own = heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("hops"), F.lit(True).alias("settled"))
+    single = parents.where("n = 1").join(heads.select(F.col("node").alias("head")), F.col("src") == F.col("head"), "left")
+    found = written(own.unionByName(single.select("node", F.col("src").alias("up"), F.lit(1).cast("long").alias("hops"), F.col("head").isNotNull().alias("settled"))), "trees")
+    discard(parents)
+    before = -1
+    while True:
+        settled, left = found.agg(F.count_if("settled"), F.count_if(~F.col("settled"))).first()
+        if not left or settled == before:
+            return found.where("settled").select(F.col("up").alias("head"), "node", "hops")
+        before = settled
+        above = found.select(F.col("node").alias("at"), F.col("up").alias("top"), F.col("hops").alias("more"), F.col("settled").alias("ended"))
+        moved = found.where("not settled").join(above, F.col("up") == F.col("at"))
+        moved = moved.select("node", F.col("top").alias("up"), (F.col("hops") + F.col("more")).alias("hops"), F.col("ended").alias("settled"))
+        after = written(found.where("settled").unionByName(moved), "trees")
+        discard(found)
+        found = after
+
+
 def reach(roots_: DataFrame, edges_: DataFrame) -> DataFrame:
-    """(root, node, depth) of all that each root reaches, itself at 0."""
+    """(root, node, depth) of all that each root reaches, itself at 0; edges_ has a pair once."""
+    spark = roots_.sparkSession
     steps = written(edges_.select("src", "dst").where("src <> dst"), "edges")
-    frontier = written(roots_.select(F.col("message_id").alias("root"), F.col("message_id").alias("node"), F.lit(0).cast("long").alias("depth")), "level")
-    levels = [frontier]
+    trees = _trees(roots_, steps)
+    joints = trees.where("hops = 0").select(F.col("node").alias("joint"))
+    hung = steps.join(joints, F.col("dst") == F.col("joint")).join(trees, F.col("src") == F.col("node"))
+    links = written(hung.groupBy("head", "joint").agg(F.min(F.col("hops") + 1).alias("weight")), "links")
+    discard(steps)
+    start = roots_.select(F.col("message_id").alias("root"), F.col("message_id").alias("head"), F.lit(0).cast("long").alias("depth"))
+    if links.isEmpty():
+        return start.join(trees, "head").select("root", "node", F.col("hops").alias("depth"))
+    levels = [written(start, "level")]
     while True:
-        seen = reduce(DataFrame.unionByName, levels).select("root", "node")
-        after = frontier.join(steps, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        frontier = written(after.withColumn("depth", F.lit(len(levels)).cast("long")), "level")
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(frontier)
+        seen = spark.read.schema(levels[0].schema).parquet(*[x._loomline_path for x in levels])
+        known = seen.select(F.col("root").alias("of"), F.col("head").alias("at"), F.col("depth").alias("best"))
+        after = levels[-1].join(links, "head").groupBy("root", F.col("joint").alias("head")).agg(F.min(F.col("depth") + F.col("weight")).alias("depth"))
+        level = written(after.join(known, (F.col("root") == F.col("of")) & (F.col("head") == F.col("at")) & (F.col("best") <= F.col("depth")), "left_anti"), "level")
+        if level.isEmpty():
+            reached = seen.groupBy("root", "head").agg(F.min("depth").alias("depth"))
+            return reached.join(trees, "head").select("root", "node", (F.col("depth") + F.col("hops")).alias("depth"))
+        levels.append(level)
 
 
 def threads(records: DataFrame, compat: bool = False) -> DataFrame:

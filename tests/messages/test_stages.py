@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,47 @@ def test_graph_edge_cases(spark):
     assert threads.quality_metrics(t.limit(0)).count() == 0
 
 
+def nearest(roots, edges):
+    """Brute force: {(root, node): depth}."""
+    out = {}
+    for root in roots:
+        depth, queue = {root: 0}, [root]
+        for node in queue:
+            for a, b in edges:
+                if a == node and b not in depth:
+                    depth[b] = depth[node] + 1
+                    queue.append(b)
+        out |= {(root, node): d for node, d in depth.items()}
+    return out
+
+
+def test_reach_against_brute_force(spark, monkeypatch):
+    rounds = []
+    kept = threads.written
+    monkeypatch.setattr(threads, "written", lambda df, name: rounds.append(name) or kept(df, name))
+
+    def check(names, edges):
+        roots = sorted(set(names) - {b for _, b in edges})
+        r = spark.createDataFrame([(x, 0) for x in roots], "message_id string, first_seq long")
+        e = spark.createDataFrame(sorted(edges), "src string, dst string")
+        found = [tuple(x) for x in threads.reach(r, e).select("root", "node", "depth").collect()]
+        assert len(found) == len({x[:2] for x in found})
+        assert {x[:2]: x[2] for x in found} == nearest(roots, edges)
+
+    draw = random.Random(5)
+    for many in (1.0, 1.6):
+        names = [f"n{i}" for i in range(40)]
+        edges = {(names[draw.randrange(max(0, i - 6), i)], names[i]) for i in range(3, 40) for _ in range(2 if draw.random() < many - 1 else 1)}
+        edges |= {(draw.choice(names), draw.choice(names)) for _ in range(int(30 * (many - 1)))}
+        check(names, edges)
+    check(["a", "b", "c", "d", "self", "e"], {("b", "c"), ("c", "b"), ("c", "d"), ("self", "self"), ("self", "e")})
+    check([], set())
+    rounds.clear()
+    chain = [f"c{i:03}" for i in range(200)]
+    check(chain, set(zip(chain, chain[1:], strict=False)))
+    assert rounds.count("trees") <= 9 and "level" not in rounds
+
+
 def loop_cap(flags, cap, batch=100):
     kept, errors, failed = [], 0, 0
     for b in range(0, len(flags), batch):
