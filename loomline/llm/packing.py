@@ -75,7 +75,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
     """Rows (doc_id, text, source, bucket) with ids and their number in place of the text."""
     enc = encoder(path, keep_space=True)
     end = np.array([end_id], enc.dtype).tobytes()
-    for batch in by_bytes(batches):
+    for batch in by_bytes(batches, most=1 << 20):
         ids = [enc.encode(text.as_py()) + end for text in column_of(batch, "text")]
         n = pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64())
         yield pa.RecordBatch.from_arrays([*(column_of(batch, c) for c in ("doc_id", "source", "bucket")), pa.array(ids, pa.binary()), n], ["doc_id", "source", "bucket", "ids", "n"])

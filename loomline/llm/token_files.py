@@ -54,7 +54,7 @@ FILE_BYTES = 32 << 20
 #: Files at most.
 FILES = 50_000
 #: Pieces whose ids a worker remembers; later ones are encoded anew.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _SKIP, _SEEK, _TAIL = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
@@ -109,11 +109,14 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        self.packs = [struct.Struct(f"<{n}{code}").pack for n in range(64)]
+        self.code = code
         self.simple = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*" if keep_space else f"[\t\n\r -~{_LOWERED}]*")
         self.cut = re.compile(_CUT_SPACED if keep_space else _CUT_WORDS).findall
         self.general = regex.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if keep_space else f"[^{WHITE}]+").findall
         self.symbols = byte_symbols()
+        self.space = self.symbols[32]
         self.keep_space = keep_space
         spec = json.loads(self.tokenizer.to_str())
         special = [re.escape(t["content"]) for t in spec["added_tokens"]]
@@ -123,10 +126,13 @@ class PieceEncoder:
         self.by_model, self.by_tokenizer = _Pieces(self._model), _Pieces(self._tokenizer)
 
     def _packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return self.packs[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _model(self, piece: str) -> bytes:
-        shown = piece if piece.isascii() and piece.isalnum() else "".join([self.symbols[b] for b in piece.encode("utf-8")])
+        if piece.isascii() and (word := piece[piece[0] == " " :]).isalnum():
+            shown = piece if word is piece else self.space + word
+        else:
+            shown = "".join([self.symbols[b] for b in piece.encode("utf-8")])
         return self._packed([t.id for t in self.model.tokenize(shown)])
 
     def _tokenizer(self, piece: str) -> bytes:

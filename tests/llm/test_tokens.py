@@ -192,3 +192,18 @@ def test_a_file_with_other_rules_is_left_to_the_library(tmp_path):
     library, enc = Tokenizer.from_file(path), token_files.PieceEncoder(path, True)
     for text in ("Some words", " some [[mark]] words", "", "é 12"):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("keep_space", [True, False])
+def test_many_pieces_are_encoded_once(keep_space):
+    """A worker remembers the words of a large text, and gives the library's ids for each."""
+    enc = token_files.PieceEncoder(token_count.tokenizer_path("byte_bpe_50k.json" if keep_space else "word_bpe_49k.json"), keep_space)
+    letters = "abcdefghij"
+    words = [letters[i // 100_000 % 10] + "".join(letters[int(c)] for c in f"{i:06d}") for i in range(200_000)]
+    text, asked = " ".join(words), []
+    model = enc.by_model.encode
+    enc.by_model.encode = lambda piece: asked.append(piece) or model(piece)
+    first = enc.encode(text)
+    assert enc.encode(text) == first and len(asked) == len(set(asked))
+    some = " ".join(words[::100] + ["1234", "don't", "a1b2", "É", "_x_", "  ", "end"])
+    assert np.frombuffer(enc.encode(some), enc.dtype).tolist() == enc.tokenizer.encode(some, add_special_tokens=False).ids
