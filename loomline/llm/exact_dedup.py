@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import SPACE, column_of, discard, numbered, ship, without, written
+from loomline.llm.common import SPACE, column_of, discard, forget, numbered, ship, without, written
 
 DIGEST = 32
 #: Distinct digests a bucket holds about; it bounds the memory of one index build.
@@ -112,6 +112,7 @@ def _keys(digests: np.ndarray) -> np.ndarray:
 
 
 def _build_bucket(table: pa.Table) -> pa.Table:
+    forget()
     digests = _digests(table)
     winners = np.stack([column_of(table, c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("keep_id", "keep_row", "n")], 1)
     gone = ~np.asarray(column_of(table, "keep_id").is_valid())
@@ -138,6 +139,7 @@ def _build_bucket(table: pa.Table) -> pa.Table:
 
 
 def _lookup_bucket(new: pa.Table, index: pa.Table) -> pa.Table:
+    forget()
     digests = _digests(new)
     keep_id = column_of(new, "keep_id").to_pylist()
     keep_row, n = (column_of(new, c).to_numpy(zero_copy_only=False).astype(np.int64).copy() for c in ("keep_row", "n"))

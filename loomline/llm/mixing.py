@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import WORD, column_of, n_words_col, ship, sum_before, written
+from loomline.llm.common import WORD, column_of, forget, n_words_col, ship, small_table, sum_before, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -98,6 +98,7 @@ def _quotas(rows: pa.Table) -> pa.Table:
 
     before: the source's blocks in the shards before this one; ratio: seats a block.
     """
+    forget()
     rows = rows.sort_by("source_no")
     blocks, before, ratio, block = (column_of(rows, c).to_numpy() for c in ("blocks", "before", "ratio", "block"))
     # the shards before have got the nearest whole number of seats, as the quotients of 1/2 and more are the highest ones
@@ -135,7 +136,7 @@ def _sources(docs: DataFrame, seed: int) -> tuple[DataFrame, dict[str | None, in
     """docs with key, shard and tie, and the number of rows of each source."""
     rows = dict(map(tuple, docs.groupBy("source").count().collect()))
     shards = [(s, max(1, math.ceil(n / DOCS_PER_SHARD))) for s, n in rows.items()]
-    table = _small(docs.sparkSession.createDataFrame(shards, "name string, shards int"))
+    table = _small(small_table(docs.sparkSession, shards, "name string, shards int"))
     dealt = docs.join(table, docs["source"].eqNullSafe(table["name"])).drop("name").withColumn("key", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(seed)))
     return dealt.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(1)), F.col("shards")).cast("int")).drop("shards"), rows
 
@@ -151,7 +152,7 @@ def _quotas_of(held: DataFrame, weights, share, most) -> tuple[DataFrame, DataFr
     target = targets(list(size.items()), weights, share, most)
     order = sorted((s for s in target if s is not None)) + [None] * (None in target)
     rows = [(s, i, float(target[s]), int(size[s]), block_of(target[s])) for i, s in enumerate(order)]
-    table = _small(spark.createDataFrame(rows, "name string, source_no int, target double, total long, block long"))
+    table = _small(small_table(spark, rows, "name string, source_no int, target double, total long, block long"))
     parts = held.join(table, held["source"].eqNullSafe(table["name"])).where("total > 0")
     parts = parts.select("shard", "source_no", F.ceil(F.col("words") / F.col("block")).cast("long").alias("blocks"), (F.col("target") / F.col("total")).alias("ratio"), "block")
     parts = sum_before(parts, "shard", "blocks", "before", by=("source_no",))
@@ -195,6 +196,16 @@ def _runs(text: str, selected: np.ndarray, begin: int, block: int) -> list[str]:
     return [text[a:b] for a, b in runs]
 
 
+def _parts(body: pa.Table, of: np.ndarray, selected: np.ndarray, begin: np.ndarray, block: int) -> pa.Table:
+    """A row for each passage of the documents of (numbers of rows). A long text has many, so none gets the whole text first."""
+    held = [_runs(t.as_py(), selected, int(begin[i]), block) for t, i in zip(body["text"].take(of), of.tolist(), strict=True)]
+    at = np.repeat(of, list(map(len, held)))
+    texts = [x for runs in held for x in runs]
+    new = {"text": texts, "n_chars": list(map(len, texts))}
+    columns = [pa.array(new[f.name], f.type) if f.name in new else c.take(at) for f, c in zip(body.schema, body.columns, strict=True)]
+    return pa.Table.from_arrays(columns, schema=body.schema)
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of docs: a row each time a document is taken whole, and one for each passage where a part is."""
     ship(docs.sparkSession)
@@ -206,6 +217,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     table, quotas = _quotas_of(held, weights, share, most)
 
     def rows_taken(rows: pa.Table, quota: pa.Table) -> pa.Table:
+        forget()
         held = column_of(rows, "body").combine_chunks()
         held = held if isinstance(held, pa.StructArray) else held.chunk(0)
         body = pa.Table.from_arrays(held.flatten(), names=names)
@@ -218,13 +230,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
         partly = np.flatnonzero((extra > 0) & (extra < size))
         out = [body.take(np.repeat(np.arange(len(size)), times))]
         if len(partly):
-            texts = [_runs(t.as_py(), selected, int(begin[i]), block) for t, i in zip(body["text"].take(partly), partly.tolist(), strict=True)]
-            part = body.take(np.repeat(partly, [len(x) for x in texts]))
-            texts = [x for held in texts for x in held]
-            part = part.set_column(names.index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
-            if "n_chars" in names:
-                part = part.set_column(names.index("n_chars"), part.schema.field("n_chars"), pa.array(list(map(len, texts)), part.schema.field("n_chars").type))
-            out.append(part)
+            out.append(_parts(body, partly, selected, begin, block))
         return pa.concat_tables(out)
 
     numbered = _small(table.select("name", "source_no"))

@@ -43,7 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import column_of, delete_at_exit, shared_path, ship, sum_before, written
+from loomline.llm.common import KEPT, column_of, delete_at_exit, shared_path, ship, sum_before, written
 from loomline.llm.token_count import WHITE, byte_symbols, tokenizer_path
 
 END_ID = 2
@@ -148,14 +148,11 @@ class PieceEncoder:
         return b"".join([known[p] for p in pieces])
 
 
-_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
-
-
 def encoder(path: str, keep_space: bool) -> PieceEncoder:
-    key = (path, keep_space)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(path, keep_space)
-    return _ENCODERS[key]
+    key = ("encoder", path, keep_space)
+    if key not in KEPT:
+        KEPT[key] = PieceEncoder(path, keep_space)
+    return KEPT[key]
 
 
 #: Hadoop's names of schemes that pyarrow calls otherwise.

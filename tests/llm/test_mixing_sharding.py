@@ -1,11 +1,16 @@
+import contextlib
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
+import psutil
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomline.llm import kd_sharding, mixing
+from loomline.llm import jaccard_join, kd_sharding, mixing, token_count, token_files
+from loomline.llm.common import small_table
 from tests.llm.conftest import ODD
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -82,6 +87,53 @@ def test_parts_are_passages_of_their_text(docs, texts):
     assert parts and all(r.text in texts[r.doc_id] for r in parts)
 
 
+def _most_of_a_worker() -> int:
+    """The most MB that one of the session's Python workers ever held."""
+    most = 0
+    for p in psutil.Process().children(recursive=True):
+        with contextlib.suppress(OSError, psutil.Error):
+            if "pyspark.daemon" in " ".join(p.cmdline()):
+                most = max(most, int(re.search(r"VmHWM:\s+(\d+)", Path(f"/proc/{p.pid}/status").read_text())[1]) >> 10)
+    return most
+
+
+def test_a_long_text_is_cut_without_a_copy_of_it_for_each_passage(spark):
+    rows = [(1, " ".join(f"w{i}" for i in range(300_000)), "a", 0), (2, "x " * 900, "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    out = mixing.mixed(docs).collect()
+    assert 0 < _most_of_a_worker() < 1000  # with a copy for each it was over 2 GB
+    words, texts = {}, {i: t for i, t, _, _ in rows}
+    for r in out:
+        assert r.text in texts[r.doc_id]
+        words[r.doc_id] = words.get(r.doc_id, 0) + len(WORD.findall(r.text))
+    assert words == {i: n for i, n in taken.items() if n} and len(out) > 500
+
+
+def test_small_tables_need_no_python_worker(spark):
+    schema = "name string, no int, part double"
+    for rows in ([("a", 1, 0.5), (None, 2, None)], []):
+        made, wanted = small_table(spark, rows, schema), spark.createDataFrame(rows, schema)
+        assert made.schema == wanted.schema and made.collect() == wanted.collect()
+        assert "PythonRDD" not in made._jdf.queryExecution().toRdd().toDebugString()
+    assert "PythonRDD" in spark.createDataFrame([("a", 1, 0.5)], schema)._jdf.queryExecution().toRdd().toDebugString()
+
+
+def test_a_worker_forgets_the_encoder_when_another_step_begins():
+    path = token_count.tokenizer_path("byte_bpe_50k.json")
+    enc = token_files.encoder(path, True)
+    assert token_files.encoder(path, True) is enc
+    steps = [
+        lambda: list(jaccard_join.set_batches(iter(()), np.zeros(0, np.uint64))),
+        lambda: list(jaccard_join.frequent_batches(iter(()))),
+        lambda: mixing._quotas(pa.table({"shard": pa.array([0], pa.int32()), "source_no": pa.array([0], pa.int32()), "blocks": [1], "before": [0], "ratio": [1.0], "block": [64]})),
+    ]
+    for step in steps:
+        enc = token_files.encoder(path, True)
+        step()
+        assert token_files.encoder(path, True) is not enc
+
+
 def test_ties_of_id_and_size_do_not_depend_on_the_order(spark):
     rows = [(i % 5, f"w{i} x{i} y{i} z{i % 3} " * 9, "a" if i % 2 else "b") for i in range(300)]
     a = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
