@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,20 +40,34 @@ def with_seq(df: DataFrame, name: str = "seq", *order: str) -> DataFrame:
     if order:
         return ranked(df, name, *order)
     marked = df.withColumn("_k", F.monotonically_increasing_id())
-    part = F.shiftright("_k", 33)
-    counts = marked.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return marked.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_k").bitwiseAND(F.lit((1 << 33) - 1))).drop("_k", "_p", "_before")
+    return _numbered(marked.withColumn("_p", F.shiftright("_k", 33)), name)
+
+
+def _numbered(marked: DataFrame, name: str) -> DataFrame:
+    """marked with its place from 0 as name: by its part _p, and there by the number _k, which goes up by one a row."""
+    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_k").alias("_low"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_p", (F.coalesce(before, F.lit(0)) - F.col("_low")).alias("_offset"))
+    return marked.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_offset") + F.col("_k")).drop("_k", "_p", "_offset")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW, skip_long: bool = True, na: bool = True) -> DataFrame:
-    """Quoted, multi-line CSV with a header; rows of too many fields are skipped if skip_long, short ones are filled with nulls."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW, skip_long: bool = True, na: bool = True, place: bool = False) -> DataFrame:
+    """Quoted, multi-line CSV with a header; rows of too many fields are skipped if skip_long, short ones are filled with nulls.
+
+    An empty cell is a null, without na an empty one in quotes is an empty text. place adds the file as _p and the order in it as _k.
+    """
     require_path(spark, path)
     wide = T.StructType([*schema.fields, T.StructField("_extra", T.StringType())]) if skip_long else schema
     reader = spark.read.schema(wide).option("header", True).option("enforceSchema", True).option("multiLine", True)
-    df = reader.option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").csv(path)
+    reader = reader.option("quote", '"').option("escape", '"').option("charToEscapeQuoteEscaping", '"').option("mode", "PERMISSIVE")
+    # Spark takes what it reads as this mark for a null, be it in quotes or not; it must not be a text, not the empty one either
+    df = reader.option("nullValue", uuid.uuid4().hex).csv(path)
+    if place:
+        df = df.select("*", F.col("_metadata.file_path").alias("_p"))
     if skip_long:
         df = df.where(F.col("_extra").isNull()).drop("_extra")
+    if place:
+        df = df.withColumn("_k", F.monotonically_increasing_id())
     if na:
         text = {f.name for f in schema.fields if isinstance(f.dataType, T.StringType)}
         df = df.select(*[F.when(~F.col(c).isin(*NA_TOKENS), F.col(c)).alias(c) if c in text else F.col(c) for c in df.columns])
@@ -63,11 +79,11 @@ def preview(spark: SparkSession, path: str, rows: int = 5) -> DataFrame:
 
 
 def load_messages(spark: SparkSession, path: str) -> DataFrame:
-    """Raw messages as filename, raw_text, id (scan position) and seq."""
-    df = read_csv(spark, path)
+    """Raw messages as filename, raw_text, id (position, in the order of the files' names) and seq."""
+    df = read_csv(spark, path, place=True)
     require_columns(df, "file", "message")
     # a multi-line CSV is one task a file, so rows are dealt out before they are parsed
-    rows = with_seq(df.withColumnsRenamed({"file": "filename", "message": "raw_text"})).withColumn("id", F.col("seq").cast("string"))
+    rows = _numbered(df.withColumnsRenamed({"file": "filename", "message": "raw_text"}), "seq").withColumn("id", F.col("seq").cast("string"))
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
 
 

@@ -233,3 +233,18 @@ def test_streams(spark, tmp_path):
     q = stream.hourly_counts(live).writeStream.format("memory").queryName("hours").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(str(r.hour_start), r.n) for r in spark.table("hours").collect()] == [("2024-01-01 05:00:00", 2)]
+
+
+def test_csv_gives_odd_texts_back(spark, tmp_path):
+    draw = random.Random(3)
+    atoms = ['"', '""', ",", "\n", "\r", "\r\n", " ", "\t", "a", "bc", "\\", '\\"', "é", "\U0001f600", "\x00", "\x0b", "\u2028", "\x85", "#", "\ufeff", "'"]
+    rows = [(str(i), "".join(draw.choice(atoms) for _ in range(draw.randint(0, 6)))) for i in range(2000)]
+    rows += [(None, None), (None, "x"), ("y", None), ("", ""), ("NA", "null")]
+    df = spark.createDataFrame(rows, "file string, message string").repartition(3)
+    back = files.read_csv(spark, sinks.write_csv(df, f"{tmp_path}/c"), na=False)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    none = sinks.write_csv(df.limit(0), f"{tmp_path}/none")
+    assert sinks.validate_outputs(spark, none)[none] and files.read_csv(spark, none).count() == 0
+    typed = spark.sql("select 1 as n, 'a,b' as `t,u`, cast(null as double) as d")
+    sinks.write_csv(typed, f"{tmp_path}/t")
+    assert next((tmp_path / "t").glob("part-*")).read_text() == 'n,"t,u",d\n1,"a,b",\n'
