@@ -565,8 +565,9 @@ _RAW = raw_text(message_columns())
 
 @query(f"SELECT (row_number() OVER (ORDER BY seq) - 1)::VARCHAR AS id, 'box/' || id AS filename, md5({_RAW}) AS digest FROM (SELECT *, '' AS refs FROM {E})")
 def csv_messages(spark, sf_dir):
-    raw = emails(spark, sf_dir).repartition(1).sortWithinPartitions("seq").select(F.col("filename").alias("file"), F.col("raw_text").alias("message"))
-    path = sinks.write_csv(raw, _path(spark, "messages.csv"), one_file=True)
+    # ranges in order, a file each: no task sees all messages
+    raw = emails(spark, sf_dir).repartitionByRange("seq").sortWithinPartitions("seq").select(F.col("filename").alias("file"), F.col("raw_text").alias("message"))
+    path = sinks.write_csv(raw, _path(spark, "messages.csv"))
     delete_at_exit(spark, path)
     return files.load_messages(spark, path).select("id", "filename", F.md5("raw_text").alias("digest"))
 

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import content, eda, parse, profile, sample, threads
+from loomline.plans import catalog
 from loomline.sources import files, sinks
 from loomline.streaming import messages as stream
+from tests.conftest import SMALL
 
 
 def records(spark, rows):
@@ -248,3 +250,22 @@ def test_csv_gives_odd_texts_back(spark, tmp_path):
     typed = spark.sql("select 1 as n, 'a,b' as `t,u`, cast(null as double) as d")
     sinks.write_csv(typed, f"{tmp_path}/t")
     assert next((tmp_path / "t").glob("part-*")).read_text() == 'n,"t,u",d\n1,"a,b",\n'
+
+
+def test_messages_are_numbered_by_the_order_of_files(spark, tmp_path):
+    rows = [(f"f{i:03}", f"m{i}," + "x" * (i % 100 if i < 200 else 500)) for i in range(300)]
+    ranges = spark.createDataFrame(rows, "file string, message string").repartitionByRange(3, "file").sortWithinPartitions("file")
+    path = sinks.write_csv(ranges, f"{tmp_path}/m")
+    assert len(list((tmp_path / "m").glob("part-*"))) == 3
+    back = sorted((r.seq, r.id, r.filename, r.raw_text) for r in files.load_messages(spark, path).collect())
+    assert back == [(i, str(i), *r) for i, r in enumerate(rows)]
+
+
+def test_message_file_is_not_written_by_one_task(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog, "_path", lambda s, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        catalog.queries()["csv_messages"](spark, SMALL)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "messages.csv").glob("part-*"))) > 1
