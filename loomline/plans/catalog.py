@@ -579,9 +579,7 @@ def csv_odd_rows(spark, sf_dir):
     name = F.concat(F.lit("f"), F.col("event_id"))
     whole = F.concat(name, F.lit(',"m'), F.col("event_id"), F.lit(', ""'), F.col("event_type"), F.lit('"""'))
     line = F.when(k == 0, F.concat(name, F.lit(",a,b"))).when(k == 1, name).when(k == 2, F.concat(name, F.lit(",NA"))).otherwise(whole)
-    lines = e.select(F.col("event_id").alias("o"), line.alias("value")).unionByName(spark.createDataFrame([(-1, "file,message")], "o long, value string"))
-    path = _path(spark, "odd.csv")
-    lines.repartition(1).sortWithinPartitions("o").select("value").write.text(path)
+    path = sinks.write_lines(e, _path(spark, "odd.csv"), "file,message", line)
     delete_at_exit(spark, path)
     return files.read_csv(spark, path, RAW)
 

@@ -269,3 +269,13 @@ def test_message_file_is_not_written_by_one_task(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "messages.csv").glob("part-*"))) > 1
+
+
+def test_odd_rows_are_written_as_they_are_read(spark, tmp_path, monkeypatch):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").repartition(3)
+    events.write.parquet(f"{tmp_path}/in/events.parquet")
+    monkeypatch.setattr(catalog, "_path", lambda s, name: f"{tmp_path}/{name}")
+    rows = catalog.queries()["csv_odd_rows"](spark, f"{tmp_path}/in").collect()
+    parts = [p.read_text().splitlines() for p in (tmp_path / "odd.csv").glob("part-*")]
+    assert len(parts) == 3 and all(p[0] == "file,message" for p in parts) and sum(len(p) - 1 for p in parts) == 10_000
+    assert len(rows) == 8_000 and all(r.file != "file" for r in rows)
