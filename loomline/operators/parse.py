@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as X
-from loomline.functions.mime import parse_messages
+from loomline.functions.mime import PARSED, parse_messages
+from loomline.sources.tables import written
 
 
-def parse(raw: DataFrame, policy: str = "modern", lossy: bool = False) -> DataFrame:
-    """id, seq, source_filename and the parsed columns of raw (id, seq, filename, raw_text)."""
+def parse(raw: DataFrame, policy: str = "modern", lossy: bool = False, only: tuple[str, ...] = tuple(PARSED.names)) -> DataFrame:
+    """id, seq, source_filename and the parsed columns (or only some) of raw (id, seq, filename, raw_text)."""
     rows = raw.select("id", "seq", F.col("filename").alias("source_filename"), "raw_text")
-    return parse_messages(rows, "raw_text", policy, lossy)
+    return parse_messages(rows, "raw_text", policy, lossy, only)
 
 
 def parse_native(raw: DataFrame, names: tuple[str, ...] = ("From", "To", "Subject", "Date", "Message-ID", "In-Reply-To", "References")) -> DataFrame:
@@ -29,8 +30,10 @@ def thread_hints(parsed: DataFrame) -> DataFrame:
 
 def report(parsed: DataFrame) -> DataFrame:
     """One row: total, successes, failures and the rate; no rows give rate 0."""
-    ok = F.count_if("parsing_success")
-    n = F.count(F.lit(1))
+    return _report(parsed, F.count_if("parsing_success"), F.count(F.lit(1)))
+
+
+def _report(parsed: DataFrame, ok: Column, n: Column) -> DataFrame:
     return parsed.agg(n.alias("total_emails"), ok.alias("successful_parsing"), (n - ok).alias("failed_parsing"), F.coalesce(F.round(ok / F.nullif(n, F.lit(0)), 4), F.lit(0.0)).alias("success_rate"))
 
 
@@ -43,9 +46,12 @@ def error_distribution(parsed: DataFrame, k: int = 10, compat: bool = False) ->
 
 
 def full_report(parsed: DataFrame) -> DataFrame:
-    """The report with the errors as a map."""
-    errors = error_distribution(parsed).agg(F.map_from_entries(F.collect_list(F.struct("error", "n"))).alias("error_distribution"))
-    return report(parsed).crossJoin(errors)
+    """The report with the errors as a map; the messages are parsed once, as both are made from counts that are written first."""
+    counts = written(parsed.groupBy("parsing_success", "error").agg(F.count(F.lit(1)).alias("n")), "outcomes")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    top = counts.where(~F.col("parsing_success")).orderBy(F.desc("n"), "error").limit(10)
+    errors = top.agg(F.map_from_entries(F.collect_list(F.struct("error", "n"))).alias("error_distribution"))
+    return _report(counts, total(F.when(F.col("parsing_success"), F.col("n"))), total("n")).crossJoin(errors)
 
 
 def metadata(raw: DataFrame) -> DataFrame:

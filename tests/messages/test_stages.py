@@ -271,6 +271,25 @@ def test_message_file_is_not_written_by_one_task(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "messages.csv").glob("part-*"))) > 1
 
 
+def test_full_report_parses_once(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    @F.udf("string")
+    def read(x):
+        with seen.open("a") as f:
+            f.write(".")
+        return x
+
+    raw = spark.createDataFrame([(str(i), i, "f", None if i % 3 == 0 else "Subject: s\n\nb") for i in range(30)], "id string, seq long, filename string, raw_text string")
+    raw = raw.withColumn("raw_text", read.asNondeterministic()("raw_text"))
+    whole = parse.parse(raw)
+    r = parse.full_report(whole).first()
+    assert seen.read_text() == "." * 30
+    assert (r.total_emails, r.successful_parsing, r.failed_parsing, r.success_rate) == (30, 20, 10, 0.6667) and list(r.error_distribution.values()) == [10]
+    assert parse.full_report(parse.parse(raw, only=("parsing_success", "error"))).first() == r
+    assert parse.full_report(whole.limit(0)).first().asDict() == {"total_emails": 0, "successful_parsing": 0, "failed_parsing": 0, "success_rate": 0.0, "error_distribution": {}}
+
+
 def test_odd_rows_are_written_as_they_are_read(spark, tmp_path, monkeypatch):
     events = spark.read.parquet(f"{SMALL}/events.parquet").repartition(3)
     events.write.parquet(f"{tmp_path}/in/events.parquet")
